@@ -2,16 +2,39 @@
 
 from __future__ import annotations
 
-from keystrata.llm import secrets
+from pyspark.sql import functions as F
+
+from keystrata.llm import kdsearch, mixing, secrets
 from keystrata.llm.common import table
 
 
+def op2_kd_topk(spark, sf_dir):
+    return kdsearch.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op4_secret_scan(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_mix(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))[0]
+
+
 QUERIES = {
+    "op2_kd_topk": op2_kd_topk,
     "op4_secret_scan": op4_secret_scan,
+    "op5_mix": op5_mix,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_kd_topk": """
+WITH v AS (
+    SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS e
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10""",
+}
