@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from keystrata.llm import kdsearch, mixing, secrets
+from keystrata.llm import kdsearch, mixing, packing, secrets
 from keystrata.llm.common import table
 
 
@@ -20,10 +20,17 @@ def op5_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))[0]
 
 
+def op6_pack(spark, sf_dir):
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op2_kd_topk": op2_kd_topk,
     "op4_secret_scan": op4_secret_scan,
     "op5_mix": op5_mix,
+    "op6_pack": op6_pack,
 }
 
 ORACLE_SQL: dict[str, str] = {
