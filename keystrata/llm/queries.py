@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from keystrata.llm import kdsearch, mixing, packing, secrets
+from keystrata.llm import kdsearch, mixing, packing, secrets, webp_lossless
 from keystrata.llm.common import table
 
 
+def op1_webp_lossless(spark, sf_dir):
+    return webp_lossless.store_and_read(table(spark, sf_dir, "documents"))
+
+
 def op2_kd_topk(spark, sf_dir):
     return kdsearch.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -27,6 +31,7 @@ def op6_pack(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_webp_lossless": op1_webp_lossless,
     "op2_kd_topk": op2_kd_topk,
     "op4_secret_scan": op4_secret_scan,
     "op5_mix": op5_mix,
