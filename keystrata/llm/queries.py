@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from keystrata.llm import kdsearch, mixing, packing, secrets, webp_lossless
+from keystrata.llm import kdsearch, mixing, neardup, packing, secrets, webp_lossless
 from keystrata.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op2_kd_topk(spark, sf_dir):
     return kdsearch.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op3_near_duplicates(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,7 @@ def op6_pack(spark, sf_dir):
 QUERIES = {
     "op1_webp_lossless": op1_webp_lossless,
     "op2_kd_topk": op2_kd_topk,
+    "op3_near_duplicates": op3_near_duplicates,
     "op4_secret_scan": op4_secret_scan,
     "op5_mix": op5_mix,
     "op6_pack": op6_pack,
