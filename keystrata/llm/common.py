@@ -163,14 +163,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def shards(spark: SparkSession, df: DataFrame, least: int = 12, each: int = 8 << 20) -> int:
-    """A partition count that grows with the input, from the optimiser's size estimate of its scans."""
+def estimated_parts(df: DataFrame, least: int, each: int) -> int:
+    """Parts of ``each`` stored bytes, by the optimiser's size estimate of the scans; ``least`` where there is none."""
     try:
         size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except (ValueError, AttributeError):
         size = 0
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(least, parts, min(size // each, 200_000))
+    return max(least, size // each)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -265,7 +265,10 @@ def main_text(page: str | None) -> str:
             elif kid.name in BLOCK and id(kid) in lengths:
                 text, link = lengths[id(kid)]
                 density = link / max(1, text)
-                if total(kid) >= max(10.0, 0.2 * top) and density < 0.25 or kid.name == "p" and (text > 80 and density < 0.25):
+                scored = total(kid) >= max(10.0, 0.2 * top)
+                heading = kid.name in ("h1", "h2", "h3") and text > 0
+                prose = kid.name in ("p", "div", "section", "blockquote", "pre") and text > 60 and kid.score + (kid.name == "p") > 0
+                if density < 0.25 and (scored or heading or prose):
                     chosen.append(kid)
     out: list[str] = []
     for node in chosen:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from keystrata.llm import htmltext, kdsearch, mixing, neardup, packing, secrets, webp_lossless
+from keystrata.llm import htmltext, kdsearch, mixing, neardup, packing, passages, secrets, webp_lossless
 from keystrata.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op6_pack(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_repeated_passages(spark, sf_dir):
+    return passages.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_html_text(spark, sf_dir):
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
@@ -45,6 +49,7 @@ QUERIES = {
     "op4_secret_scan": op4_secret_scan,
     "op5_mix": op5_mix,
     "op6_pack": op6_pack,
+    "op7_repeated_passages": op7_repeated_passages,
     "op8_html_text": op8_html_text,
 }
 
