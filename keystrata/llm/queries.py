@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from keystrata.llm import htmltext, kdsearch, langid, mixing, neardup, packing, passages, secrets, webp_lossless
+from keystrata.llm import htmltext, kdsearch, langid, mixing, mixlm, neardup, packing, passages, secrets, webp_lossless
 from keystrata.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op8_html_text(spark, sf_dir):
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
+def op9_context_mixing_score(spark, sf_dir):
+    return mixlm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op6_pack": op6_pack,
     "op7_repeated_passages": op7_repeated_passages,
     "op8_html_text": op8_html_text,
+    "op9_context_mixing_score": op9_context_mixing_score,
     "op10_language_id": op10_language_id,
 }
 
