@@ -227,9 +227,10 @@ def fit(docs: DataFrame, learn: Column, id_column: str = "doc_id", text_column:
     return train([x[2] for x in rows], [x[0] for x in rows])
 
 
-def predict(net: Network, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", others: tuple[str, ...] = ()) -> DataFrame:
-    """The id and ``others`` columns, lang_pred and score of every row. Map only."""
+def predict(net: Network, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", others: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
+    """The id and ``others`` columns (and the text), lang_pred and score of every row. Map only."""
     names = [id_column, *others]
+    out_names = [*names, *[text_column] * with_text]
 
     def work(batches):
         for batch in slices(batches):
@@ -243,9 +244,9 @@ def predict(net: Network, docs: DataFrame, id_column: str = "doc_id", text_colum
             best = p.argmax(axis=1)
             language = [net.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letters.tolist())]
             score = np.where(letters, np.clip(p[np.arange(len(p)), best], 0, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(language, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *[batch.column("text")] * with_text, pa.array(language, pa.string()), pa.array(score, pa.float64())], [*out_names, "lang_pred", "score"])
 
-    kinds = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
+    kinds = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in out_names)
     return docs.select(*names, docs[text_column].alias("text")).mapInArrow(work, f"{kinds}, lang_pred string, score double")
 
 

@@ -107,8 +107,8 @@ def placed(sizes: DataFrame, sources: DataFrame, rows: int) -> DataFrame:
     return d.join(totals, ["code", "bucket"]).withColumn("start", F.col("within") + F.col("before"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, block: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(per document: doc_id, size, source_size, target, taken; the slots: id, code, rank)."""
+def _taken(docs: DataFrame, weights, share: float, block: int) -> DataFrame:
+    """The pieces of the documents that the schedule's blocks hold: a row's key and columns, epoch, from, length (null: none taken)."""
     spark = docs.sparkSession
     sizes = cut(word_counts(docs.select("doc_id", "source", "text")))
     rows, words = sizes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
@@ -119,9 +119,45 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, block: int = BLO
     for epoch in range(EPOCHS):
         begin = F.col("start") + F.lit(epoch) * F.col("source_size")
         blocks = F.when(F.col("size") > 0, F.sequence(F.floor(begin / block), F.floor((begin + F.col("size") - 1) / block)))
-        p = d.select("*", begin.alias("begin"), F.explode_outer(blocks).alias("rank"))
+        p = d.select("*", F.lit(epoch).alias("epoch"), begin.alias("begin"), F.explode_outer(blocks).alias("rank"))
         pieces = p if pieces is None else pieces.unionByName(p)
-    length = F.least(F.col("begin") + F.col("size"), (F.col("rank") + 1) * block) - F.greatest(F.col("begin"), F.col("rank") * block)
-    joined = pieces.withColumn("length", length).join(slots.select("code", "rank", F.lit(True).alias("hit")), ["code", "rank"], "left")
-    taken = joined.groupBy("code", "bucket", "at", "doc_id", "size", "source_size", "target").agg(F.coalesce(F.sum(F.when(F.col("hit"), F.col("length"))), F.lit(0)).alias("taken"))
-    return taken.select("doc_id", "size", "source_size", "target", "taken"), slots
+    low = F.greatest(F.col("begin"), F.col("rank") * block)
+    length = F.least(F.col("begin") + F.col("size"), (F.col("rank") + 1) * block) - low
+    pieces = pieces.withColumn("length", length).withColumn("from", low - F.col("begin"))
+    joined = pieces.join(slots.select("code", "rank", F.lit(True).alias("hit")), ["code", "rank"], "left")
+    return joined.withColumn("length", F.when(F.col("hit"), F.col("length"))).withColumn("from", F.when(F.col("hit"), F.col("from")))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, block: int = BLOCK_WORDS) -> DataFrame:
+    """Per document: doc_id, size, source_size, target, taken (words the mix takes, repeats counted)."""
+    pieces = _taken(docs, weights, share, block)
+    taken = pieces.groupBy("code", "bucket", "at", "doc_id", "size", "source_size", "target").agg(F.coalesce(F.sum("length"), F.lit(0)).alias("taken"))
+    return taken.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def materialise(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, block: int = BLOCK_WORDS) -> DataFrame:
+    """The mix as documents: a row for each epoch in which a document is taken, with the words taken of it (all: the text as it is).
+
+    A source's blocks are taken from the first on, so what is taken of a document in an epoch is a run of its words.
+    ``n_chars``, where there is one, counts the new text. Documents of no words are not in the mix; rows that share a
+    doc_id take the run of the first of them.
+    """
+    pieces = _taken(docs, weights, share, block).filter("length > 0")
+    runs = pieces.groupBy("doc_id", "code", "bucket", "at", "epoch", "size").agg(F.min("from").alias("run_start"), F.sum("length").alias("run_words"))
+    place = F.row_number().over(Window.partitionBy("doc_id", "epoch").orderBy("code", "bucket", "at"))
+    runs = runs.withColumn("place", place).filter("place = 1")
+    runs = runs.select(F.col("doc_id").alias("run_id"), "run_start", "run_words", (F.col("run_words") == F.col("size")).alias("run_whole"))
+    names = docs.columns
+    joined = docs.join(runs, docs["doc_id"].eqNullSafe(runs["run_id"])).select(*(docs[c] for c in names), "run_start", "run_words", "run_whole")
+
+    def work(batches):
+        for batch in slices(batches):
+            texts = []
+            for text, start, n, whole in zip(*(batch.column(c).to_pylist() for c in ("text", "run_start", "run_words", "run_whole"))):
+                texts.append(text if whole else b" ".join((text or "").encode().split()[start : start + n]).decode())
+            cols = {c: batch.column(c) for c in names} | {"text": pa.array(texts, batch.column("text").type)}
+            if "n_chars" in cols:
+                cols["n_chars"] = pa.array([len(x or "") for x in texts], pa.int64()).cast(cols["n_chars"].type)
+            yield pa.RecordBatch.from_arrays([cols[c] for c in names], names)
+
+    return joined.mapInArrow(work, docs.schema)

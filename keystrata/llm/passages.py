@@ -27,11 +27,19 @@ from keystrata.llm.neardup import FILTER_BITS, _id_filter
 WINDOW = 13
 HASH_BITS = 40
 #: Windows of a shard, about: what one task sorts at once.
-SHARD_WINDOWS = 1 << 21
+SHARD_WINDOWS = 1 << 19
 #: Later documents of one unit, and units' pairs of one automaton shard.
-UNIT, SHARD_PAIRS = 256, 200
-PATTERNS = 100_000
-_OTHER = chr(0x10FFFF)
+UNIT, SHARD_PAIRS = 128, 100
+PATTERNS = 40_000
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The distinct pairs, (2, n)."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return np.stack([a[new], b[new]])
 
 
 def _proposals(docs: DataFrame, count: int) -> DataFrame:
@@ -51,7 +59,7 @@ def _proposals(docs: DataFrame, count: int) -> DataFrame:
             new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
             first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
             later = owner[order] > owner[first]
-            pairs = np.unique(np.stack([owner[order][later], owner[first][later]]), axis=1)
+            pairs = _distinct(owner[order][later], owner[first][later])
             if pairs.shape[1]:
                 at = int(splitmix(ids[:1].view(np.uint64))[0] % np.uint64(count))
                 yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([None], pa.binary()), pa.array([pairs.tobytes()], pa.binary())], ["shard", "hashes", "owners"])
@@ -88,7 +96,7 @@ def _shared(table: pa.Table) -> pa.Table:
         bytes_.append(np.frombuffer(h, np.uint8).reshape(-1, HASH_BITS // 8))
         owner.append(np.repeat(o[0], o[1]))
     if not bytes_:
-        pairs = np.unique(np.concatenate(known, axis=1), axis=1)
+        pairs = _distinct(*np.concatenate(known, axis=1))
         return pa.table({"d": pairs[0], "m": pairs[1]})
     width = np.zeros((sum(map(len, bytes_)), 8), np.uint8)
     width[:, : HASH_BITS // 8] = np.concatenate(bytes_)
@@ -98,7 +106,7 @@ def _shared(table: pa.Table) -> pa.Table:
     start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     first = np.repeat(np.minimum.reduceat(owner, start), np.diff(np.append(start, len(h))))
     later = owner > first
-    pairs = np.unique(np.concatenate([np.stack([owner[later], first[later]]), *known], axis=1), axis=1)
+    pairs = _distinct(*np.concatenate([np.stack([owner[later], first[later]]), *known], axis=1))
     return pa.table({"d": pairs[0], "m": pairs[1]})
 
 
@@ -116,65 +124,58 @@ def _flags(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.filter("id is not null").withColumn("at", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))).mapInArrow(work, "id long, text string")
 
 
-def _covered(words: list[bytes], hits: list[int]) -> np.ndarray:
-    """A bit for each word that a window starting at one of ``hits`` covers."""
-    step = np.zeros(len(words) + 1, np.int64)
-    starts = np.array(hits)
-    np.add.at(step, starts, 1)
-    np.add.at(step, starts + WINDOW, -1)
-    return np.cumsum(step[:-1]) > 0
+def _letters(words: Words) -> str:
+    """The words of all texts as a string of one letter for each distinct word."""
+    _, letter = np.unique(words.hashes(), return_inverse=True)
+    letter = letter + 1
+    if len(letter) and int(letter.max()) > 0x10F000:
+        raise ValueError("too many distinct words for one automaton shard")
+    return (letter + np.where(letter >= 0xD800, 0x800, 0)).astype("<u4").tobytes().decode("utf-32-le")
 
 
-def locate(earlier: list[tuple[int, list[bytes]]], later: list[tuple[int, list[bytes]]]) -> list[list[int]]:
-    """For each later document the starts of its windows that also start in an earlier one with a smaller id.
+def locate(texts: pa.Array, ids: np.ndarray, earlier: np.ndarray, patterns: int = PATTERNS) -> tuple[Words, np.ndarray]:
+    """The texts' words, and the start positions of windows in later texts that also start in an earlier one of a smaller id.
 
-    The windows that occur on both sides are compiled into automata of at most ``PATTERNS`` patterns; words are letters.
+    Windows that occur on both sides are compiled into automata of at most ``patterns`` patterns, whose letters are whole
+    words; every later text is streamed through them.
     """
     import ahocorasick
 
-    starts: dict[tuple, int] = {}
-    wanted = set()
-    for _, words in later:
-        wanted.update(map(hash, zip(*(words[i:] for i in range(WINDOW)))))
-    for owner, words in earlier:
-        for window in zip(*(words[i:] for i in range(WINDOW))):
-            if hash(window) in wanted and starts.get(window, owner) >= owner:
-                starts[window] = owner
-    out: list[list[int]] = [[] for _ in later]
-    patterns = list(starts.items())
-    for a in range(0, len(patterns), PATTERNS):
-        letters: dict[bytes, str] = {}
+    words = Words(texts)
+    line = _letters(words)
+    first = words.first
+    n = np.maximum(np.diff(first) - WINDOW + 1, 0)
+    start = ragged(first[:-1], n)
+    doc = np.repeat(np.arange(len(n)), n)
+    h = rolling(words.hashes(), WINDOW)[start]
+    role = earlier[doc]
+    source, target = np.flatnonzero(role), np.flatnonzero(~role)
+    source = source[np.isin(h[source], h[target])]
+    order = np.lexsort((ids[doc[source]], h[source]))
+    source = source[order]
+    source = source[np.concatenate([[True], h[source][1:] != h[source][:-1]])] if len(source) else source
+    at, owner = start[source].tolist(), ids[doc[source]].tolist()
+    hits: list[int] = []
+    later = [(i, a, b) for i, a, b, e in zip(ids.tolist(), first.tolist(), first[1:].tolist(), earlier.tolist()) if not e and b - a >= WINDOW]
+    for k in range(0, len(at), patterns):
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for window, owner in patterns[a : a + PATTERNS]:
-            key = []
-            for w in window:
-                if w not in letters:
-                    code = len(letters) + 1
-                    letters[w] = chr(code + (0x800 if code >= 0xD800 else 0))
-                key.append(letters[w])
-            automaton.add_word("".join(key), owner)
+        for a, i in zip(at[k : k + patterns], owner[k : k + patterns]):
+            automaton.add_word(line[a : a + WINDOW], i)
         automaton.make_automaton()
-        for (owner, words), hits in zip(later, out):
-            if len(words) >= WINDOW:
-                get = letters.get
-                hits.extend(end - WINDOW + 1 for end, first in automaton.iter("".join([get(w, _OTHER) for w in words])) if first < owner)
-    return out
+        for i, a, b in later:
+            hits.extend([end - WINDOW + 1 for end, least in automaton.iter(line, a, b) if least < i])
+    return words, np.array(hits, np.int64)
 
 
 def _units(table: pa.Table) -> pa.Table:
     """One automaton shard: earlier documents' windows, located in the later ones; a bit map per later document."""
-    earlier, later = [], {}
-    for role, i, text, key in zip(*(table.column(c).to_pylist() for c in ("role", "id", "text", "key"))):
-        words = (text or "").encode().split()
-        if role == 0:
-            earlier.append((i, words))
-        else:
-            later[(i, key)] = words
-    order = list(later)
-    rows = []
-    for (i, key), hits in zip(order, locate(earlier, [(i, later[(i, k)]) for i, k in order])):
-        if hits:
-            rows.append((i, key, np.packbits(_covered(later[(i, key)], hits)).tobytes()))
+    table = table.combine_chunks()
+    ids, keys = np.asarray(table.column("id").chunk(0)), np.asarray(table.column("key").chunk(0))
+    earlier = np.asarray(table.column("role").chunk(0)) == 0
+    words, hits = locate(table.column("text").chunk(0), ids, earlier)
+    step = np.bincount(hits, minlength=len(words) + WINDOW + 1) - np.bincount(hits + WINDOW, minlength=len(words) + WINDOW + 1)
+    covered = np.cumsum(step) > 0
+    rows = [(i, k, np.packbits(covered[a:b]).tobytes()) for i, k, e, a, b in zip(ids.tolist(), keys.tolist(), earlier.tolist(), words.first.tolist(), words.first[1:].tolist()) if not e and covered[a:b].any()]
     cols = list(zip(*rows)) or [(), (), ()]
     return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["id", "key", "bits"])
 

@@ -25,7 +25,7 @@ def op4_secret_scan(spark, sf_dir):
 
 
 def op5_mix(spark, sf_dir):
-    return mixing.mix(table(spark, sf_dir, "documents"))[0]
+    return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def op6_pack(spark, sf_dir):
