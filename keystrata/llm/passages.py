@@ -2,7 +2,7 @@
 
 Which documents may share a window of ``WINDOW`` words is found first. A run of rows hashes its windows, keeps each
 window once with its smallest doc_id (pre-aggregation: a window in a third of all rows moves once per run), and deals
-40-bit hashes to shards; a shard tells which (document, earlier document) pairs share one. Hashes only propose: pairs
+40-bit hashes to shards by a minimiser of the window's words; a shard tells which (document, earlier document) pairs share one. Hashes only propose: pairs
 are then confirmed. Each unit (an earlier document and a bounded number of later ones) goes to a shard of its own, which
 compiles the windows that recur there into an Aho-Corasick automaton over whole words and streams every document of the
 shard through it. All occurrences are located exactly; their covered words come back as bit maps.
@@ -28,6 +28,7 @@ WINDOW = 13
 HASH_BITS = 40
 #: Windows of a shard, about: what one task sorts at once.
 SHARD_WINDOWS = 1 << 19
+LEAST_SHARDS = 256
 #: Later documents of one unit, and units' pairs of one automaton shard.
 UNIT, SHARD_PAIRS = 128, 100
 PATTERNS = 40_000
@@ -42,6 +43,17 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack([a[new], b[new]])
 
 
+def _minimisers(hashes: np.ndarray) -> np.ndarray:
+    """For each window the smallest hash of three neighbouring words in it, mixed again.
+
+    Equal windows have equal ones, and neighbouring windows mostly share theirs, so that a passage meets in few shards.
+    """
+    m = rolling(hashes, 3)
+    for step in (1, 2, 4, WINDOW - 10):
+        m = np.minimum(m[:-step], m[step:])
+    return splitmix(m, 41)
+
+
 def _proposals(docs: DataFrame, count: int) -> DataFrame:
     """A shard's hashes with their documents (runs of id, length); without hashes: pairs later/earlier found within a run of rows."""
 
@@ -52,7 +64,9 @@ def _proposals(docs: DataFrame, count: int) -> DataFrame:
             n = np.maximum(words.counts - WINDOW + 1, 0)
             if not n.sum():
                 continue
-            h = rolling(words.hashes(), WINDOW)[ragged(words.first[:-1], n)]
+            hashes = words.hashes()
+            at = ragged(words.first[:-1], n)
+            h, home = rolling(hashes, WINDOW)[at], _minimisers(hashes)[at]
             doc = np.repeat(np.arange(len(n)), n)
             owner = ids[doc]
             order = np.lexsort((owner, h))
@@ -66,21 +80,21 @@ def _proposals(docs: DataFrame, count: int) -> DataFrame:
             keep = np.zeros(len(h), bool)
             keep[order[new]] = True
             h, owner = h[keep], owner[keep]
-            shard = ((h >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
+            shard = ((home[keep] >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
             by = np.argsort(shard, kind="stable")
             bounds = np.searchsorted(shard[by], np.arange(count + 1))
             some = np.flatnonzero(np.diff(bounds))
             h, owner = h[by], owner[by]
             low = np.ascontiguousarray((h & np.uint64((1 << HASH_BITS) - 1)).astype("<u8")).view(np.uint8).reshape(-1, 8)[:, : HASH_BITS // 8].copy()
             # Documents stay in order within a shard: runs of an owner are (id, length).
-            hashes, owners = [], []
+            blobs, owners = [], []
             for k in some.tolist():
                 a, b = bounds[k], bounds[k + 1]
                 own = owner[a:b]
                 edge = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                hashes.append(low[a:b].tobytes())
+                blobs.append(low[a:b].tobytes())
                 owners.append(np.stack([own[edge], np.diff(np.append(edge, b - a))]).astype(np.int64).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(hashes, pa.binary()), pa.array(owners, pa.binary())], ["shard", "hashes", "owners"])
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(blobs, pa.binary()), pa.array(owners, pa.binary())], ["shard", "hashes", "owners"])
 
     return docs.mapInArrow(work, "shard int, hashes binary, owners binary")
 
@@ -183,7 +197,7 @@ def _units(table: pa.Table) -> pa.Table:
 def occurrences(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(per later document: id, key, maps; the texts of documents that may share something: id, text, key)."""
     # Stored text is compressed to about half, and a word takes some six bytes.
-    count = estimated_parts(docs, 16, 3 * SHARD_WINDOWS)
+    count = estimated_parts(docs, LEAST_SHARDS, 3 * SHARD_WINDOWS)
     proposed = _proposals(docs.filter("id is not null and text is not null"), count)
     pairs = cut(proposed.groupBy("shard").applyInArrow(_shared, "d long, m long").distinct())
     texts = cut(_flags(docs, pairs.select(F.explode(F.array("d", "m")).alias("id")).distinct()).withColumn("key", F.xxhash64("text")))
