@@ -48,7 +48,7 @@ def read_uvarint(data: bytes) -> tuple[int, int] | None:
 
 def varint(n: int) -> bytes:
     """Signed numbers by zigzag."""
-    return uvarint((n << 1) ^ (n >> 63) & (1 << 64) - 1 if n < 0 else n << 1)
+    return uvarint((n << 1) ^ (n >> 63))
 
 
 def read_varint(data: bytes) -> tuple[int, int] | None:
