@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 from collections.abc import Iterator
@@ -64,12 +65,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
 def raw(column: pa.Array) -> tuple[bytes, np.ndarray]:
     """The texts' UTF-8 bytes, one after another, and n+1 offsets; null counts as empty."""
     column = pc.fill_null(column, "" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
-    if column.offset:
-        column = pa.concat_arrays([column]) if column.offset == 0 else pa.array(column.to_pylist(), column.type)
     kind = np.int64 if column.type in (pa.large_string(), pa.large_binary()) else np.int32
     buffers = column.buffers()
-    offsets = np.frombuffer(buffers[1], kind)[: len(column) + 1].astype(np.int64)
-    data = b"" if buffers[2] is None else buffers[2].to_pybytes()[offsets[0] : offsets[-1]]
+    if not len(column):
+        return b"", np.zeros(1, np.int64)
+    offsets = np.frombuffer(buffers[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = b"" if buffers[2] is None else buffers[2].slice(offsets[0], offsets[-1] - offsets[0]).to_pybytes()
     return data, offsets - offsets[0]
 
 
@@ -158,17 +159,29 @@ def shared_folder(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows, written once to the shared checkpoint folder; lineage ends there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows, written once to the shared checkpoint folder; lineage ends there.
+
+    Spark deletes shuffle files once the plans that made them are garbage on the driver, which may be long after; so the
+    driver's garbage is collected here.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    out = df.checkpoint(eager=True)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
-def estimated_parts(df: DataFrame, least: int, each: int) -> int:
-    """Parts of ``each`` stored bytes, by the optimiser's size estimate of the scans; ``least`` where there is none."""
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except (ValueError, AttributeError):
-        size = 0
+def estimated_parts(df: DataFrame, column: str, least: int, each: int) -> int:
+    """Parts of ``each`` stored bytes of a text column, at least ``least``.
+
+    The optimiser's size estimate of the scan serves; where it has none, the texts are measured (stored text is about
+    half as large).
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:
+        size = (df.agg(F.sum(F.octet_length(column))).first()[0] or 0) // 2
     return max(least, size // each)
 
 

@@ -11,22 +11,27 @@ from pyspark.sql import functions as F
 
 from keystrata.llm.common import cut
 
+EDGES_A_FILE = 200_000
+
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(u, v) edges of longs -> (node, component): for every node of an edge the smallest node it reaches."""
-    e = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    e = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     last = None
+    many = e.count()
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct())
+        # Few edges are kept in few files, so that a round over them makes few shuffle files.
+        e = cut(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct().coalesce(many // EDGES_A_FILE + 1))
+        del both, least, large, down, small
         now = e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 30)))).first()
         if now == last:
             break
-        last = now
+        last, many = now, now[0]
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

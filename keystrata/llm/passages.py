@@ -197,7 +197,7 @@ def _units(table: pa.Table) -> pa.Table:
 def occurrences(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(per later document: id, key, maps; the texts of documents that may share something: id, text, key)."""
     # Stored text is compressed to about half, and a word takes some six bytes.
-    count = estimated_parts(docs, LEAST_SHARDS, 3 * SHARD_WINDOWS)
+    count = estimated_parts(docs, "text", LEAST_SHARDS, 3 * SHARD_WINDOWS)
     proposed = _proposals(docs.filter("id is not null and text is not null"), count)
     pairs = cut(proposed.groupBy("shard").applyInArrow(_shared, "d long, m long").distinct())
     texts = cut(_flags(docs, pairs.select(F.explode(F.array("d", "m")).alias("id")).distinct()).withColumn("key", F.xxhash64("text")))
