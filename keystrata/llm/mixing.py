@@ -95,7 +95,8 @@ def placed(sizes: DataFrame, sources: DataFrame, rows: int) -> DataFrame:
     """The documents with their source's code and their place ``start`` in its shuffled stream; (code, bucket, at) is a row's key."""
     buckets = max(64, rows // 1000)
     salted = sources.select("source", "code", "source_size", "target", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    d = sizes.withColumn("h", F.xxhash64(F.lit(11), "doc_id")).withColumn("salt", F.pmod("h", F.lit(SALTS)).cast("int"))
+    shuffled = F.coalesce(F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 15), 16, 10).cast("long"), F.lit(0))
+    d = sizes.withColumn("h", shuffled).withColumn("salt", F.pmod("h", F.lit(SALTS)).cast("int"))
     d = d.alias("d").join(salted.alias("s"), F.col("d.salt").eqNullSafe(F.col("s.salt")) & F.col("d.source").eqNullSafe(F.col("s.source")))
     d = d.select("d.doc_id", "d.size", "d.h", "s.code", "s.source_size", "s.target")
     d = d.withColumn("bucket", F.pmod(F.shiftright("h", 8), F.lit(buckets)).cast("int"))
@@ -143,17 +144,17 @@ def materialise(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, block: i
     doc_id take the run of the first of them.
     """
     pieces = _taken(docs, weights, share, block).filter("length > 0")
-    runs = pieces.groupBy("doc_id", "code", "bucket", "at", "epoch", "size").agg(F.min("from").alias("run_start"), F.sum("length").alias("run_words"))
+    runs = pieces.groupBy("doc_id", "code", "bucket", "at", "epoch", "size").agg(F.min("from").alias("_mix_start"), F.sum("length").alias("_mix_words"))
     place = F.row_number().over(Window.partitionBy("doc_id", "epoch").orderBy("code", "bucket", "at"))
     runs = runs.withColumn("place", place).filter("place = 1")
-    runs = runs.select(F.col("doc_id").alias("run_id"), "run_start", "run_words", (F.col("run_words") == F.col("size")).alias("run_whole"))
+    runs = runs.select(F.col("doc_id").alias("_mix_id"), "_mix_start", "_mix_words", (F.col("_mix_words") == F.col("size")).alias("_mix_whole"))
     names = docs.columns
-    joined = docs.join(runs, docs["doc_id"].eqNullSafe(runs["run_id"])).select(*(docs[c] for c in names), "run_start", "run_words", "run_whole")
+    joined = docs.join(runs, docs["doc_id"].eqNullSafe(runs["_mix_id"])).select(*(docs[c] for c in names), "_mix_start", "_mix_words", "_mix_whole")
 
     def work(batches):
         for batch in slices(batches):
             texts = []
-            for text, start, n, whole in zip(*(batch.column(c).to_pylist() for c in ("text", "run_start", "run_words", "run_whole"))):
+            for text, start, n, whole in zip(*(batch.column(c).to_pylist() for c in ("text", "_mix_start", "_mix_words", "_mix_whole"))):
                 texts.append(text if whole else b" ".join((text or "").encode().split()[start : start + n]).decode())
             cols = {c: batch.column(c) for c in names} | {"text": pa.array(texts, batch.column("text").type)}
             if "n_chars" in cols:
