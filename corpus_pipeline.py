@@ -26,8 +26,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Learns from the text and lang of the documents that crc32(doc_id) mod 3 doesn't hold out.
     """
     net = langid.fit(docs, ~langid.held_out("doc_id", 3, 1))
-    seen = langid.predict(net, docs, others=tuple(c for c in docs.columns if c not in ("doc_id", "text")), with_text=True)
-    return seen.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    return langid.of_clear_language(net, docs, LEAST_LANGUAGE_SCORE)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ by backpropagation through time with Adam, each position of a window being label
 
 Texts are read whole, in windows of ``STEPS`` bytes side by side, so time and memory for a byte don't depend on a text's
 length. Training uses at most ``PER_LANGUAGE`` documents of each language, the first by a hash of doc_id, and a fixed
-seed; prediction sees nothing but the text.
+seed (that bounds the sample to ``PER_LANGUAGE`` * ``MOST_LANGUAGES`` texts of ``TRAIN_CHARS`` characters); prediction sees nothing but the text.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; rows that repeat a doc_id give a row each;
 an empty table gives no rows; without labelled documents every text is ``und``.
@@ -28,6 +28,8 @@ from keystrata.llm.common import LOWER, raw, slices
 STEPS = 96
 HIDDEN = 8
 PER_LANGUAGE = 800
+#: Languages that are learned, the most frequent first, and characters of a document that training reads.
+MOST_LANGUAGES, TRAIN_CHARS = 200, 4000
 TRAIN_WINDOWS = 256
 TRAIN_ROUNDS = 700
 RATE = 0.01
@@ -218,36 +220,55 @@ def fit(docs: DataFrame, learn: Column, id_column: str = "doc_id", text_column:
     from pyspark.sql import Window
 
     chosen = docs.filter(learn & F.col(lang_column).isNotNull() & F.col(text_column).isNotNull())
-    order = Window.partitionBy("lang").orderBy("h", "id")
     ids = chosen.select(F.col(id_column).alias("id"), F.col(lang_column).alias("lang"), F.xxhash64(F.lit(3), F.col(id_column)).alias("h"))
+    # Hashes beyond twice the share that is wanted are left out before rows of a language meet.
+    counts = ids.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    share = F.least(F.lit(1.0), (F.lit(2.0 * per_language) + 100) / F.col("n"))
+    ids = ids.join(F.broadcast(counts), "lang").filter((F.col("h") / F.lit(2.0**64) + 0.5) <= share)
+    order = Window.partitionBy("lang").orderBy("h", "id")
     ids = ids.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_language).select("id", "lang").distinct()
-    sample = ids.join(chosen.select(F.col(id_column).alias("id"), F.col(lang_column).alias("lang"), F.col(text_column).alias("text")), ["id", "lang"])
-    rows = sorted((r["lang"], zlib.crc32(r["text"].encode()), r["text"]) for r in sample.select("lang", F.substring("text", 1, 4000).alias("text")).toLocalIterator())
+    texts = chosen.select(F.col(id_column).alias("id"), F.col(lang_column).alias("lang"), F.substring(text_column, 1, TRAIN_CHARS).alias("text"))
+    sample = texts.join(F.broadcast(ids), ["id", "lang"]).limit(2 * per_language * MOST_LANGUAGES)
+    rows = sorted((r["lang"], zlib.crc32(r["text"].encode()), r["text"]) for r in sample.select("lang", "text").toLocalIterator())
     rows = [x for x in rows if LETTER.search(x[2])]
     return train([x[2] for x in rows], [x[0] for x in rows])
 
 
-def predict(net: Network, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", others: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
-    """The id and ``others`` columns (and the text), lang_pred and score of every row. Map only."""
-    names = [id_column, *others]
-    out_names = [*names, *[text_column] * with_text]
+def _labels(net: Network, column: pa.Array) -> tuple[list[str], np.ndarray]:
+    """The language and score of each text."""
+    data, offsets = raw(column)
+    p = document_probabilities(net, data, offsets) if net.languages else np.zeros((len(column), 1))
+    plain = np.concatenate([[0], np.cumsum(_PLAIN[np.frombuffer(data, np.uint8)])])
+    letters = plain[offsets[1:]] > plain[offsets[:-1]]
+    for i in np.flatnonzero(~letters & (np.diff(offsets) > 0)).tolist():
+        letters[i] = bool(LETTER.search(data[offsets[i] : offsets[i + 1]].decode()))
+    letters &= bool(net.languages)
+    best = p.argmax(axis=1)
+    language = [net.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letters.tolist())]
+    return language, np.where(letters, np.clip(p[np.arange(len(p)), best], 0, 1), 0.0)
+
+
+def predict(net: Network, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The id, lang_pred and score of every row. Map only."""
 
     def work(batches):
         for batch in slices(batches):
-            data, offsets = raw(batch.column("text"))
-            p = document_probabilities(net, data, offsets) if len(net.languages) else np.zeros((batch.num_rows, 1))
-            plain = np.concatenate([[0], np.cumsum(_PLAIN[np.frombuffer(data, np.uint8)])])
-            letters = plain[offsets[1:]] > plain[offsets[:-1]]
-            for i in np.flatnonzero(~letters & (np.diff(offsets) > 0)).tolist():
-                letters[i] = bool(LETTER.search(data[offsets[i] : offsets[i + 1]].decode()))
-            letters &= bool(net.languages)
-            best = p.argmax(axis=1)
-            language = [net.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letters.tolist())]
-            score = np.where(letters, np.clip(p[np.arange(len(p)), best], 0, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *[batch.column("text")] * with_text, pa.array(language, pa.string()), pa.array(score, pa.float64())], [*out_names, "lang_pred", "score"])
-
-    kinds = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in out_names)
-    return docs.select(*names, docs[text_column].alias("text")).mapInArrow(work, f"{kinds}, lang_pred string, score double")
+            language, score = _labels(net, batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(language, pa.string()), pa.array(score, pa.float64())], [id_column, "lang_pred", "score"])
+
+    kind = docs.schema[id_column].dataType.simpleString()
+    return docs.select(docs[id_column], docs[text_column].alias("text")).mapInArrow(work, f"`{id_column}` {kind}, lang_pred string, score double")
+
+
+def of_clear_language(net: Network, docs: DataFrame, least: float, text_column: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text has a letter and a language of at least this score. Map only."""
+
+    def work(batches):
+        for batch in slices(batches, text_column):
+            language, score = _labels(net, batch.column(text_column))
+            yield batch.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(language, score.tolist())]))
+
+    return docs.mapInArrow(work, docs.schema)
 
 
 def identify(docs: DataFrame, modulus: int = 3, remainder: int = 1) -> DataFrame:
