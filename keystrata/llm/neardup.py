@@ -40,6 +40,9 @@ NEAREST = 2
 NUMERATOR, DENOMINATOR = 75, 100
 FILTER_BITS = 1 << 25
 PARTITION_ROWS = 200_000
+#: Components of more members have hubs; how many, and how often they are tried at most. A class is compared with them
+#: that met the component this often over all trees (one with a link does so but for a chance of some 0.0005).
+LARGE, HUBS, HUB_ROUNDS, MEETINGS = 16, 32, 4, 3
 
 _PERMUTATIONS = splitmix(np.arange(TREES * DEPTH, dtype=np.uint64), 21) | np.uint64(1)
 _LEVELS = np.array([[(t * DEPTH + j if j < DEPTH else (t + 7 * (j - DEPTH + 1)) * DEPTH + j) % (TREES * DEPTH) for j in range(LEVELS)] for t in range(TREES)])
@@ -198,6 +201,48 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(a, "a").join(b, "b").mapInArrow(work, "u long, v long")
 
 
+def _with_components(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b, trees) of different components ca, cb (a class without links is its own)."""
+    of_a = found.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    of_b = found.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    both = pairs.join(of_a, "a", "left").join(of_b, "b", "left")
+    return both.select("a", "b", "trees", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).filter("ca <> cb")
+
+
+def _hubs(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """(component, node): of each large component the members whose signatures agree most with its commonest values."""
+    large = found.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > LARGE).select("component")
+    members = found.join(large, "component", "left_semi").join(classes.select(F.col("rep").alias("node"), "signature"), "node").select("component", "node", "signature")
+    members = cut(members)
+
+    def values(batches):
+        for batch in batches:
+            n = len(_PERMUTATIONS)
+            flat = np.frombuffer(b"".join(batch.column("signature").to_pylist()), ">u4").astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column("component")), n)), pa.array(np.tile(np.arange(n, dtype=np.int32), batch.num_rows)), pa.array(flat)], ["component", "place", "value"])
+
+    counts = members.select("component", "signature").mapInArrow(values, "component long, place int, value long").groupBy("component", "place", "value").agg(F.count("*").alias("n"))
+    common = counts.groupBy("component", "place").agg(F.max(F.struct("n", "value"))["value"].alias("value"))
+    common = common.groupBy("component").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("common"))
+
+    def agreement(batches):
+        for batch in batches:
+            own = np.frombuffer(b"".join(batch.column("signature").to_pylist()), ">u4").reshape(batch.num_rows, -1)
+            wanted = np.array(batch.column("common").to_pylist(), np.int64).reshape(own.shape)
+            yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("node"), pa.array((own == wanted).sum(axis=1))], ["component", "node", "agreement"])
+
+    rated = members.join(common, "component").select("component", "node", "signature", "common").mapInArrow(agreement, "component long, node long, agreement long")
+    order = Window.partitionBy("component").orderBy(F.desc("agreement"), "node")
+    return rated.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= HUBS).select("component", "node")
+
+
+def _hub_pairs(apart: DataFrame, hubs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of each class that met a large component from outside, and that component's hubs."""
+    met = apart.select(F.col("a").alias("x"), F.col("cb").alias("component"), "trees").unionByName(apart.select(F.col("b").alias("x"), F.col("ca").alias("component"), "trees"))
+    met = met.groupBy("x", "component").agg(F.sum("trees").alias("trees")).filter(F.col("trees") >= MEETINGS).select("x", "component").join(hubs, "component")
+    return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     rows = cut(sketches(docs, id_column, text_column))
@@ -216,13 +261,15 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     ranked = pairs.withColumn("place", F.row_number().over(best))
     edges = cut(confirmed(ranked.filter("place = 1"), sets).unionByName(shared))
     found = cut(components(edges))
-    of_a = found.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    of_b = found.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    rest = ranked.filter("place > 1").join(of_a, "a", "left").join(of_b, "b", "left")
-    rest = rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    more = cut(confirmed(rest, sets))
-    if more.limit(1).count():
-        found = cut(components(edges.unionByName(more)))
+    more = cut(confirmed(_with_components(ranked.filter("place > 1"), found), sets))
+    for turn in range(HUB_ROUNDS + 1):
+        grown = more.limit(1).count() > 0
+        if grown:
+            edges = cut(edges.unionByName(more))
+            found = cut(components(edges))
+        if turn == HUB_ROUNDS or turn and not grown:
+            break
+        more = cut(confirmed(_hub_pairs(_with_components(pairs, found), _hubs(found, classes)), sets))
     labels = reps.join(found, reps["rep"] == found["node"], "left").select(*keys, F.coalesce("component", "rep").alias("component_id"))
     out = linked.select("doc_id", *keys).join(labels, keys).select("doc_id", "n_shingles", "component_id")
     alone = rows.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
