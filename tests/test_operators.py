@@ -122,3 +122,22 @@ def test_stream_keeps_latest(spark, tmp_path):
     q = operations(read_log(spark, source, schema)).writeStream.format("memory").queryName("ops").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r["seq"], r["op"]) for r in spark.table("ops").collect()) == [(1, "put"), (2, "put"), (3, "put"), (4, "delete")]
+
+
+def test_bloom_and_codecs(spark):
+    from keystrata.functions import filters
+    from keystrata.model import CorruptionError, InvalidArgsError
+
+    keys = [b"k%d" % i for i in range(500)]
+    bloom = filters.Bloom.of_column(spark.createDataFrame([(k,) for k in keys], "key binary"), "key", 500, 0.01)
+    assert all(bloom.may_contain(k) for k in keys) and bloom.k == 7
+    assert sum(bloom.may_contain(b"x%d" % i) for i in range(2000)) < 60
+    with pytest.raises(InvalidArgsError):
+        filters.Bloom(10, 1.5)
+    data = b"some bytes " * 100
+    for codec in ("none", "snappy", "lz4", "lz4fast", "zstd", "flate"):
+        packed = filters.compress(codec, data)
+        assert filters.decompress(codec, packed, len(data)) == data
+        with pytest.raises(CorruptionError):
+            filters.decompress(codec, packed[: len(packed) // 2], len(data))
+    assert filters.xxhash32(b"", 0) == 0x02CC5D05

@@ -442,3 +442,59 @@ def test_config_validation():
     c = ColumnFamilyConfig(compression=("lz4", "zstd"), prefix_compression=((b"a", "lz4"), (b"az", "zstd"))).validate()
     assert [c.codec_for(i) for i in range(3)] == ["lz4", "zstd", "zstd"]
     assert c.codec_for(0, b"azx") == "zstd" and c.codec_for(1, b"ab") == "lz4"
+
+
+def test_cursor_switches_direction(store):
+    for k in (b"a", b"b", b"c", b"d", b"e"):
+        store.put("a", k, k * 2)
+    store.flush("a")
+    store.put("a", b"bb", b"x")
+    for page in (256, 2):
+        c = store.cursor("a", page=page).seek_to_first()
+        seen = [c.key]
+        for step in ("next", "next", "prev", "next", "next", "next", "next"):
+            seen.append(getattr(c, step)().key)
+        assert seen == [b"a", b"b", b"bb", b"b", b"bb", b"c", b"d", b"e"]
+        assert not c.next().valid
+        assert c.seek(b"c").key == b"c" and c.next().key == b"d" and c.prev().key == b"c" and c.value == b"cc"
+        assert c.seek_for_prev(b"bz").key == b"bb" and c.seek_to_last().key == b"e" and not c.seek(b"zz").valid
+    c = store.cursor("a", lower=excluded(b"a"), upper=included(b"c"))
+    assert c.seek(b"a").key == b"b" and c.seek_for_prev(b"z").key == b"c" and not c.next().valid
+    with pytest.raises(InvalidArgsError):
+        c.key  # noqa: B018
+
+
+def test_leveled_steps(spark, tmp_path, clock):
+    with Store(spark, str(tmp_path / "db"), clock=clock) as s:
+        s.create_column_family("l", ColumnFamilyConfig(num_levels=3, l1_file_count_trigger=2, write_buffer_size=40, level_size_ratio=2))
+        s.put("l", b"a", b"1")
+        s.flush("l")
+        assert s.compact_once("l") is None
+        s.delete("l", b"a")
+        s.flush("l")
+        assert s.compact_once("l") == 0
+        assert [m.level for m in s.family("l").files] == [1] and s.stats("l")["tombstones"] == 1
+        with s.begin() as t:
+            for i in range(20):
+                t.put("l", b"k%02d" % i, b"v" * 10)
+        s.flush("l")
+        s.put("l", b"z", b"1")
+        s.flush("l")
+        assert s.compact_once("l") == 0 and s.compact_once("l") == 1
+        assert {m.level for m in s.family("l").files} == {2} and s.stats("l")["tombstones"] == 0
+        assert s.scan("l").count() == 21
+
+
+def test_data_source(spark, store):
+    from keystrata.sources.datasource import register
+
+    register(spark)
+    for i in range(4):
+        store.put("a", b"k%d" % i, b"v")
+        store.flush("a")
+    store.delete("a", b"k1")
+    store.flush("a")
+    d = spark.read.format("keystrata").option("family", "a").load(store.root)
+    assert d.count() == 5 and d.filter("tombstone").count() == 1
+    d = spark.read.format("keystrata").option("family", "a").option("lower", b"k2".hex()).load(store.root)
+    assert sorted(bytes(r["key"]) for r in d.collect()) == [b"k2", b"k3"]
