@@ -17,9 +17,14 @@ def dedup_batch(ops: DataFrame, keys: tuple[str, ...] = ("cf", "key"), op: str =
 
 def assign_sequences(deduped: DataFrame, start: int) -> DataFrame:
     """Contiguous blocks in batch order: ``seq`` of each write, ``commit_seq`` of its batch (its block's last)."""
-    sizes = deduped.groupBy("batch").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = sizes.select("batch", "_n", (F.lit(start) + F.coalesce(before, F.lit(0))).alias("_start"))
+    sizes = deduped.groupBy("batch").agg(F.count("*").alias("_n")).withColumn("_range", F.floor(F.col("batch") / (1 << 16)))
+    # Prefix sums in two steps: within ranges of batches, and over the ranges' totals.
+    totals = sizes.groupBy("_range").agg(F.sum("_n").alias("_total"))
+    chain = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_range", F.coalesce(F.sum("_total").over(chain), F.lit(0)).alias("_carried"))
+    own = Window.partitionBy("_range").orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(own), F.lit(0))).join(totals, "_range")
+    sizes = sizes.select("batch", "_n", (F.lit(start) + F.col("_before") + F.col("_carried")).alias("_start"))
     d = deduped.join(sizes, "batch")
     return d.withColumn("seq", F.col("_start") + F.col("slot")).withColumn("commit_seq", F.col("_start") + F.col("_n") - 1).drop("_n", "_start")
 

@@ -141,3 +141,10 @@ def test_bloom_and_codecs(spark):
         with pytest.raises(CorruptionError):
             filters.decompress(codec, packed[: len(packed) // 2], len(data))
     assert filters.xxhash32(b"", 0) == 0x02CC5D05
+
+
+def test_sequences_over_ranges_of_batches(spark):
+    rows = [(b, "cf", b"k%d" % i, 10 * b + i) for b in (3, 70_000, 200_000) for i in range(3)]
+    d = transactions.dedup_batch(spark.createDataFrame(rows, "batch long, cf string, key binary, op_idx long"))
+    got = transactions.assign_sequences(d, 11).orderBy("batch", "slot").collect()
+    assert [r["seq"] for r in got] == list(range(11, 20)) and [r["commit_seq"] for r in got] == [13] * 3 + [16] * 3 + [19] * 3
