@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a Python worker holds at once (a longer single text forms its own slice).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: For operators that need little more memory than the text, and gain from larger steps.
+LARGE_SLICE = 2 << 20
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True

@@ -24,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import Words, cut, ragged, slices
+from keystrata.llm.common import LARGE_SLICE, Words, cut, ragged, slices
 
 CAPACITY = 4096
 END_ID = 2
 PIECE = 512
 GROUP = 4096
-CACHE_WORDS = 1_500_000
+#: Words that a worker keeps, and words that are encoded at once (the tokeniser's own results are large).
+CACHE_WORDS, ENCODE_WORDS = 1_500_000, 10_000
 
 
 class WordTokens:
@@ -59,9 +60,13 @@ class WordTokens:
         fresh = np.flatnonzero(~known)
         if len(fresh):
             data, start, end = words.data, words.start[at[fresh]].tolist(), words.end[at[fresh]].tolist()
-            found = [x.ids for x in self.tokenizer.encode_batch([data[a:b].decode() for a, b in zip(start, end)], add_special_tokens=False)]
-            length = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((i for x in found for i in x), np.uint32, int(length.sum()))
+            lengths, flats = [], []
+            for k in range(0, len(fresh), ENCODE_WORDS):
+                some = [data[a:b].decode() for a, b in zip(start[k : k + ENCODE_WORDS], end[k : k + ENCODE_WORDS])]
+                found = [x.ids for x in self.tokenizer.encode_batch(some, add_special_tokens=False)]
+                lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
+                flats.append(np.fromiter((i for x in found for i in x), np.uint32, int(lengths[-1].sum())))
+            length, flat = np.concatenate(lengths), np.concatenate(flats)
             where = len(self.pool) + np.cumsum(length) - length
             self.pool = np.concatenate([self.pool, flat])
             self.keys, self.where, self.length = (np.insert(a, place[fresh], b) for a, b in ((self.keys, unique[fresh]), (self.where, where), (self.length, length)))
@@ -122,7 +127,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
 
     def work(batches):
         tokens = word_tokens(tokenizer_path)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=LARGE_SLICE):
             ids, ends = tokens.encode(Words(batch.column("text")))
             n = np.diff(ends) + 1
             out = np.empty(len(ids) + len(n), "<u4")

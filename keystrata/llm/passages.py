@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import Words, cut, estimated_parts, ragged, rolling, slices, splitmix
+from keystrata.llm.common import LARGE_SLICE, Words, cut, estimated_parts, ragged, rolling, slices, splitmix
 from keystrata.llm.neardup import FILTER_BITS, _id_filter
 
 WINDOW = 13
@@ -58,7 +58,7 @@ def _proposals(docs: DataFrame, count: int) -> DataFrame:
     """A shard's hashes with their documents (runs of id, length); without hashes: pairs later/earlier found within a run of rows."""
 
     def work(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, limit=LARGE_SLICE):
             words = Words(batch.column("text"))
             ids = np.asarray(batch.column("id"))
             n = np.maximum(words.counts - WINDOW + 1, 0)

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from keystrata.llm.common import raw, slices
+from keystrata.llm.common import LARGE_SLICE, raw, slices
 
 # Fixed values of the format.
 LENGTH_CODE_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -746,7 +746,7 @@ def store_and_read(docs: DataFrame, id_column: str = "doc_id", text_column: str
     names = [id_column, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *["media"] * with_media]
 
     def work(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, limit=LARGE_SLICE):
             column = batch.column("text")
             n_bytes = np.diff(raw(column)[1])
             media = encode(column)
