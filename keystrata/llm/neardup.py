@@ -4,12 +4,16 @@ A document's set holds its distinct shingles of five words. Documents with equal
 class goes into the forest. Each tree sorts the classes by its own order of signature values. Candidates are neighbours
 in a tree by longest common prefix: the depth starts at ``DEPTH`` values and is raised, region by region, until runs of
 an equal prefix hold at most ``RUN`` classes, whose pairs are all candidates; nearest neighbours of a region at the base
-depth are candidates too, so regions stay connected. Every candidate pair is then decided on the full sets, unless the
-two are connected by confirmed links already: first each class's pair most often met, then what is left between
-different components.
+depth are candidates too. Every candidate pair is then decided on the full sets, unless the two are connected by confirmed
+links already: first each class's pair most often met, then what is left between different components.
+
+Those candidates are not all of a region of more than ``RUN`` classes (or one that partitions may have cut), so its classes
+are joined exactly in the end: shingles are ordered by how often they occur, rare ones first, and two sets that reach the
+similarity share one of the first n - ceil(0.75 n) + 1 of either. Pairs of different components that do, and whose sizes
+and places leave room for the similarity, are decided on the full sets.
 
 With 20 trees a pair of similarity s shares a prefix of three in one tree or more with probability 1 - (1 - s^3)^20:
-0.99998 at s = 0.75. That is the recall of small regions; within large ones the links to other members add to it.
+0.99998 at s = 0.75. Two that do meet, whatever the size of the region.
 
 Nothing is grouped by a hot key: trees are range-partitioned by their whole sort key, classes and components use partial
 aggregation, and joins are ones that adaptive execution may split. Sets of documents without candidates are not moved (a
@@ -39,6 +43,8 @@ NEAREST = 2
 #: Similarity as a fraction of whole numbers: link where 100 * intersection >= 75 * union.
 NUMERATOR, DENOMINATOR = 75, 100
 FILTER_BITS = 1 << 25
+#: Shingles are put in order by counts of so many hash ranges (any order serves; rare shingles first makes few pairs).
+ORDER_BITS = 22
 PARTITION_ROWS = 200_000
 #: Components of more members have hubs; how many, and how often they are tried at most. A class is compared with them
 #: that met the component this often over all trees (one with a link does so but for a chance of some 0.0005).
@@ -122,8 +128,15 @@ def neighbours(keys: np.ndarray, trees: np.ndarray) -> list[tuple[np.ndarray, np
     return out
 
 
+def crowded(keys: np.ndarray, trees: np.ndarray) -> np.ndarray:
+    """Whether a row's region at the base depth has more than ``RUN`` rows, or may go on in another partition."""
+    new = np.concatenate([[False], (trees[1:] != trees[:-1]) | (keys[1:, :DEPTH] != keys[:-1, :DEPTH]).any(axis=1)])
+    run = np.cumsum(new)
+    return (np.bincount(run)[run] > RUN) | (run == 0) | (run == run[-1])
+
+
 def candidates(classes: DataFrame, partitions: int) -> DataFrame:
-    """(a, b, trees): pairs of class ids, a < b, that are neighbours in so many trees."""
+    """(a, b, trees): pairs of class ids, a < b, that are neighbours in so many trees; and (a, a) of each crowded class."""
 
     def plant(batches):
         for whole in batches:
@@ -143,7 +156,10 @@ def candidates(classes: DataFrame, partitions: int) -> DataFrame:
         t = pa.Table.from_batches(held).combine_chunks()
         ids, size = np.asarray(t.column("id").chunk(0)), np.asarray(t.column("n").chunk(0))
         keys = np.frombuffer(b"".join(t.column("key").to_pylist()), ">u4").reshape(len(ids), LEVELS)
-        for i, j in neighbours(keys, np.asarray(t.column("tree").chunk(0))):
+        trees = np.asarray(t.column("tree").chunk(0))
+        crowd = pa.array(np.unique(ids[crowded(keys, trees)]))
+        yield pa.RecordBatch.from_arrays([crowd, crowd], ["a", "b"])
+        for i, j in neighbours(keys, trees):
             a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
             small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
             keep = (a != b) & (DENOMINATOR * small >= NUMERATOR * large)
@@ -201,6 +217,55 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(a, "a").join(b, "b").mapInArrow(work, "u long, v long")
 
 
+def _order(sets: DataFrame) -> np.ndarray:
+    """How often shingles of each hash range occur; of fixed size."""
+
+    def work(batches):
+        for batch in batches:
+            flat = np.frombuffer(b"".join(batch.column("shingles").to_pylist()), np.uint64)
+            bins, n = np.unique(flat >> np.uint64(64 - ORDER_BITS), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bins.astype(np.int64)), pa.array(n)], ["bin", "n"])
+
+    counts = np.zeros(1 << ORDER_BITS, np.int32)
+    found = sets.select("shingles").mapInArrow(work, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).filter("n > 1")
+    for batch in found.toArrow().to_batches():
+        counts[np.asarray(batch.column("bin"))] = np.minimum(np.asarray(batch.column("n")), (1 << 31) - 1)
+    return counts
+
+
+def _exact_pairs(crowd: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of crowded classes of different components that may reach the similarity; none that does is missing."""
+    of = crowd.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    own = sets.join(of, "id").select("id", "component", "shingles")
+    shared = crowd.sparkSession.sparkContext.broadcast(_order(own))
+
+    def work(batches):
+        counts = shared.value
+        for whole in batches:
+            for batch in slices([whole], "shingles"):
+                first, size = [], []
+                for x in batch.column("shingles"):
+                    x = np.frombuffer(x.as_buffer(), np.uint64)
+                    n = len(x)
+                    first.append(x[np.lexsort((x, counts[x >> np.uint64(64 - ORDER_BITS)]))][: n - -(-NUMERATOR * n // DENOMINATOR) + 1])
+                    size.append(n)
+                many = np.array([len(x) for x in first])
+                place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                cols = [np.concatenate(first).view(np.int64), *(np.repeat(np.asarray(batch.column(c)), many) for c in ("id", "component")), np.repeat(np.array(size), many), place]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["shingle", "id", "component", "n", "place"])
+
+    kinds = "shingle long, id long, component long, n long, place long"
+    rows = cut(own.mapInArrow(work, kinds))
+    apart = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("shingle")
+    rows = cut(rows.join(apart, "shingle", "left_semi"))
+    x, y = rows.alias("x"), rows.alias("y")
+    # What follows the first shared shingle in both must hold the intersection that the sizes ask for.
+    room = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) * (NUMERATOR + DENOMINATOR) >= NUMERATOR * (F.col("x.n") + F.col("y.n"))
+    sizes = DENOMINATOR * F.least("x.n", "y.n") >= NUMERATOR * F.greatest("x.n", "y.n")
+    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") < F.col("y.component")) & sizes & room)
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 def _with_components(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """The pairs (a, b, trees) of different components ca, cb (a class without links is its own)."""
     of_a = found.select(F.col("node").alias("a"), F.col("component").alias("ca"))
@@ -253,8 +318,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     classes = cut(linked.alias("r").join(reps.alias("c"), [*same, F.col("r.doc_id") == F.col("c.rep")]).select("c.rep", "r.s1", "r.s2", "r.n_shingles", "r.signature"))
     many = classes.count()
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), many * TREES // PARTITION_ROWS + 1)
-    pairs = cut(candidates(classes, parts))
-    sets = cut(full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), id_column, text_column))
+    met = cut(candidates(classes, parts))
+    crowd, pairs = met.filter("a = b").select(F.col("a").alias("id")), met.filter("a <> b")
+    sets = cut(full_sets(docs, met.select(F.explode(F.array("a", "b")).alias("id")).distinct(), id_column, text_column))
     # A repeated doc_id may bring other texts along, or equal sets under one id: all count for the node.
     shared = classes.groupBy("s1", "s2", "n_shingles").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).filter("u <> v").select("u", "v")
     best = Window.partitionBy("b").orderBy(F.desc("trees"), "a")
@@ -270,6 +336,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         if turn == HUB_ROUNDS or turn and not grown:
             break
         more = cut(confirmed(_hub_pairs(_with_components(pairs, found), _hubs(found, classes)), sets))
+    more = cut(confirmed(_exact_pairs(crowd, found, sets), sets))
+    if more.limit(1).count() > 0:
+        found = cut(components(edges.unionByName(more)))
     labels = reps.join(found, reps["rep"] == found["node"], "left").select(*keys, F.coalesce("component", "rep").alias("component_id"))
     out = linked.select("doc_id", *keys).join(labels, keys).select("doc_id", "n_shingles", "component_id")
     alone = rows.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

@@ -88,3 +88,38 @@ def test_near_duplicate_recall(spark):
                 links += 1
                 assert found[i] == found[j]
     assert links > 50
+
+
+def template_rows(docs=400, seed=1):
+    """Copies of a template of which most pairs have a similarity just under the threshold, and a further copy of each that reaches it with that one only."""
+    r = np.random.default_rng(seed)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(docs):
+        slots = r.permutation(38)[:8]
+        for more in (3, 8):
+            own = list(base)
+            for k in slots[:more]:
+                own[2 + 5 * k] = f"e{i}x{k}"
+            rows.append((len(rows), " ".join(own), "en", "s", 1))
+    return rows
+
+
+def test_near_duplicates_within_a_template(spark):
+    """Components of one dense region, against all pairs."""
+    from tests.llm.fixtures import frame, words
+
+    rows = template_rows()
+    sets = []
+    for _, text, *_ in rows:
+        w = words(text, True)
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)})
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    found = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(frame(spark, rows)).collect()}
+    assert [found[i] for i in range(len(rows))] == root
