@@ -123,3 +123,30 @@ def test_near_duplicates_within_a_template(spark):
                 root = [min(a, b) if x in (a, b) else x for x in root]
     found = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(frame(spark, rows)).collect()}
     assert [found[i] for i in range(len(rows))] == root
+
+
+def test_all_bits_refine_the_weights():
+    """Costs against a plain version whose weights follow the gradient of every bit of a block."""
+    r = np.random.default_rng(5)
+    draw = lambda n: r.choice(np.arange(97, 122), n, p=np.arange(25, 0, -1) / 325).astype(np.uint8)
+    train, text = draw(4000), draw(900)
+    tree = mixlm.Tree(np.bincount(train, minlength=256))
+    tables = mixlm.empty_tables()
+    mixlm.count_bits(tree, train, np.array([0, 4000]), tables)
+    values = [mixlm.slot_values(t) for t in tables]
+    start = np.tile(np.array(mixlm.START), (mixlm.GATES, 1))
+    hashed = mixlm.contexts(text, np.array([0, 900]))
+    own, total, at, block = np.zeros(mixlm.PREDICTORS), 0.0, 0, mixlm.FIRST_BLOCK
+    while at < 900:
+        change, bits = np.zeros(mixlm.PREDICTORS), 0
+        for i in range(at, min(900, at + block)):
+            for j in range(tree.length[text[i]]):
+                x, _ = mixlm._inputs(values, [mixlm._slots(k, h[i : i + 1], tree.node[j, text[i] : text[i] + 1]) for k, h in enumerate(hashed)])
+                x = np.array([v[0] for v in x]) / mixlm.UNIT
+                bit = int(tree.bit[j, text[i]])
+                p = 1 / (1 + np.exp(-(x * (start[0] + own)).sum()))
+                total -= np.log(p if bit else 1 - p)
+                change, bits = change + x * (bit - p), bits + 1
+        own = own + mixlm.RATE * change / np.sqrt(bits + 16)
+        at, block = at + block, block * 2
+    assert abs(mixlm.costs(tree, values, start, text, np.array([0, 900]))[0] / total - 1) < 1e-5
