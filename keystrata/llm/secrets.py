@@ -33,6 +33,11 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 ASSIGN_VALUE, ACCESS_LENGTH = 12, 18
 
 ENCODED = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}(?:\r?\n[A-Za-z0-9+/]{4,})*={0,2}")
+#: The same after '=', a PEM marker or an escaped line end, and over lines that are indented, quoted by '>' or escaped.
+WRAPPED = re.compile(
+    r"(?:(?<=-----)|(?<=\\[nr])|(?<![A-Za-z0-9+/_-])(?!(?<=\\)[nr])(?![A-Z0-9]*-----))(?:[A-Za-z0-9+/_]|-(?!----)){24,}(?:[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t>]*[A-Za-z0-9+/]{4,})*={0,2}"
+)
+LINE_END = re.compile(r"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t>]*")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)")
 HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{32,}(?![0-9A-Fa-f])")
 #: Object identifiers (DER content) of public-key algorithms, and of password-based encryption of keys.
@@ -126,6 +131,37 @@ def _decode64(text: str) -> bytes | None:
         return None
 
 
+def _key_kind(text: str) -> str | None:
+    """``der`` or ``ssh`` where the base64 text is such a key."""
+    data = _decode64(text)
+    return None if data is None else "der" if is_der_key(data) else "ssh" if is_ssh_key(data) else None
+
+
+def _wrapped(text: str) -> Iterator[tuple[int, int, str]]:
+    """Keys in the forms of ``WRAPPED``: all lines of a match, else blocks of lines of one length (the last may be shorter), else lines."""
+    for m in WRAPPED.finditer(text):
+        lines, at = [], m.start()
+        for end in LINE_END.finditer(text, m.start(), m.end()):
+            lines.append((at, end.start()))
+            at = end.end()
+        lines.append((at, m.end()))
+        if kind := _key_kind("".join(text[a:b] for a, b in lines)):
+            yield m.start(), m.end(), kind
+            continue
+        k = 0
+        while len(lines) > 1 and k < len(lines):
+            last = k
+            while last + 1 < len(lines) and lines[last][1] - lines[last][0] == lines[k][1] - lines[k][0] >= lines[last + 1][1] - lines[last + 1][0]:
+                last += 1
+            if last > k and (kind := _key_kind("".join(text[a:b] for a, b in lines[k : last + 1]))):
+                yield lines[k][0], lines[last][1], kind
+            else:
+                for a, b in lines[k : last + 1]:
+                    if kind := _key_kind(text[a:b]):
+                        yield a, b, kind
+            k = last + 1
+
+
 def is_signed_token(head: str, claims: str) -> bool:
     """Whether two token parts decode to JSON objects and the first names an algorithm."""
     parts = []
@@ -144,7 +180,7 @@ def _confirmed(text: str) -> Iterator[tuple[int, int, str]]:
     for m in TOKEN.finditer(text):
         if is_signed_token(m[1], m[2]):
             yield m.start(), m.end(), "token"
-    seen = set()
+    seen = set(_wrapped(text))
     for pattern, decode in ((ENCODED, _decode64), (HEX_ANY, lambda x: bytes.fromhex(x) if len(x) % 2 == 0 else None)):
         for m in pattern.finditer(text):
             data = decode(m[0])

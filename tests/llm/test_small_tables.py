@@ -266,6 +266,26 @@ def test_secret_kinds():
     assert secrets.spans(None) == secrets.spans("") == []
 
 
+def test_keys_in_configuration_and_source():
+    import base64
+    import textwrap
+
+    numbers = [b"\x00", *(bytes([40 + k]) * 40 for k in range(8))]
+    body = b"".join(b"\x02" + bytes([len(x)]) + x for x in numbers)
+    data = b"\x30\x82" + len(body).to_bytes(2) + body
+    text = base64.b64encode(data).decode()
+    lines = textwrap.wrap(text, 64)
+    indented = "key: |\n  -----BEGIN RSA PRIVATE KEY-----\n  " + "\n  ".join(lines) + "\n  -----END RSA PRIVATE KEY-----\n"
+    forms = [f"PRIVATE_KEY={text}", f"a?b={text}&c", indented, indented.replace("\n", "\r\n"), "\n".join(f"> {x}" for x in lines) + "\n> Thanks\n"]
+    forms += ["{'k': '-----BEGIN PRIVATE KEY-----" + end + end.join(lines) + end + "-----END PRIVATE KEY-----'}" for end in ("", "\\n", "\\r\\n")]
+    for form in forms:
+        found = [form[a:b] for a, b, kind in secrets.spans(form) if kind == "der"]
+        assert len(found) == 1 and lines[0] in found[0] and found[0].endswith(lines[-1]), form
+        assert lines[1] not in secrets.redacted(form, secrets.spans(form))
+    ssh = base64.b64encode(b"\0\0\0\x0bssh-ed25519\0\0\0\x20" + bytes(range(32))).decode()
+    assert [k for _, _, k in secrets.spans(f"SSH_KEY={ssh}")] == ["ssh"]
+
+
 def test_base_spans_against_plain_patterns():
     import random
     import re
