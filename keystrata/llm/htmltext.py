@@ -1,8 +1,9 @@
 """Main text of web pages by tree scoring.
 
 A page is parsed into a tree by a tolerant tokeniser. Each paragraph-like block gives points, for its length and commas,
-to its parent, half of them to its grandparent and a third of them to the next ancestor; a container's points are discounted by its link density and by names
-that tell boilerplate. The best container is the article; siblings of it are kept where they score near it or are long
+to its parent, half of them to its grandparent and a third of them to the next ancestor; a container's points are
+discounted by its link density. Elements whose names tell boilerplate, and forms, are left out, unless they hold most of
+the page's unlinked text and have a content name too, are forms, or else next to nothing would be left. The best container is the article; siblings of it are kept where they score near it or are long
 paragraphs of few links.
 
 Defined cases: a null or empty page, or one without text, gives the empty string; scripts, styles, comments and other
@@ -53,21 +54,22 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("apart", "depth", "kids", "name", "parent", "score", "shift")
+    __slots__ = ("apart", "depth", "kids", "name", "named", "parent", "score", "shift")
 
-    def __init__(self, name: str, parent: "Node | None", apart: bool = False, shift: float = 0.0):
+    def __init__(self, name: str, parent: "Node | None", apart: bool = False, shift: float = 0.0, named: int = 0):
+        self.named = named
         self.name, self.parent, self.apart, self.shift = name, parent, apart, shift
         self.depth: int = 0 if parent is None else parent.depth + 1
         self.kids: list = []
         self.score = 0.0
 
 
-def _described(name: str, attributes: str, inside: bool) -> tuple[bool, float]:
-    """Whether an element is boilerplate by name, role or state, and points for its name."""
-    if name in APART:
-        return True, 0.0
+def _described(name: str, attributes: str, inside: bool) -> tuple[bool, float, int]:
+    """Whether an element is boilerplate by name, role or state, points for its name, and whether only a class, an id or being a form tells so (1; 2: it may be content as well)."""
+    if name in APART and name != "form":
+        return True, 0.0, 0
     if not attributes or attributes.isspace():
-        return name == "header" and not inside, 0.0
+        return name == "form" or name == "header" and not inside, 0.0, 2 if name == "form" else 0
     told, hidden = [], False
     for m in ATTRIBUTE.finditer(attributes):
         key = m[1].lower()
@@ -85,10 +87,12 @@ def _described(name: str, attributes: str, inside: bool) -> tuple[bool, float]:
     good = any(KEEP_NAME.search(x) for x in told)
     bad = any(BOILERPLATE.search(x) for x in told)
     if name in ("body", "html"):
-        return False, 0.0
+        return False, 0.0, 0
     if name == "header" and not inside:
-        return True, 0.0
-    return hidden or (bad and not (good and name in ("article", "main"))), 25.0 if good and not bad else 0.0
+        return True, 0.0, 0
+    apart = bad and not (good and name in ("article", "main"))
+    named = 0 if hidden else 2 if name == "form" and not bad or apart and (good or name in ("article", "main")) else int(apart or name == "form")
+    return hidden or apart or name == "form", 25.0 if good and not bad and name != "form" else 0.0, named
 
 
 def parse(page: str) -> Node:
@@ -161,8 +165,8 @@ def parse(page: str) -> Node:
         while node is not None and not inside:
             inside = node.name in ("article", "main")
             node = node.parent
-        apart, shift = _described(name, attributes, inside)
-        child = Node(name, at, apart, shift)
+        apart, shift, named = _described(name, attributes, inside)
+        child = Node(name, at, apart, shift, named)
         at.kids.append(child)
         at = child
     if end < n:
@@ -235,11 +239,50 @@ def _blocks(node: Node, out: list[str], held: list[str]) -> None:
         flush()
 
 
+def _unlinked(node: Node, sizes: dict[int, int]) -> int:
+    """Text below a node that no link holds, with what is apart by its name only."""
+    n = sum(len(k.strip()) if isinstance(k, str) else 0 if k.name == "a" or k.apart and not k.named else _unlinked(k, sizes) for k in node.kids)
+    sizes[id(node)] = n
+    return n
+
+
+def _spare(node: Node, sizes: dict[int, int], most: float, least: int) -> bool:
+    """Takes in again what is apart by its name (rated ``least`` or more) and holds more than ``most`` of text; whether there was any."""
+    some = False
+    for kid in node.kids:
+        if isinstance(kid, str) or sizes.get(id(kid), 0) <= most:
+            continue
+        if kid.apart and kid.named >= least:
+            kid.apart, some = False, True
+        if not kid.apart:
+            some |= _spare(kid, sizes, most, least)
+    return some
+
+
+def _clear(node: Node) -> None:
+    node.score = 0.0
+    for kid in node.kids:
+        if not isinstance(kid, str):
+            _clear(kid)
+
+
 def main_text(page: str | None) -> str:
     """The article of a page."""
     if not page:
         return ""
     root = parse(page)
+    sizes: dict[int, int] = {}
+    whole = _unlinked(root, sizes)
+    _spare(root, sizes, whole / 2, 2)
+    text = _article(root)
+    if 10 * len(text) < whole and _spare(root, sizes, whole / 2, 1):
+        _clear(root)
+        text = _article(root)
+    return text
+
+
+def _article(root: Node) -> str:
+    """The text of the best container and of siblings like it."""
     lengths: dict[int, tuple[int, int]] = {}
     _measure(root, False, lengths)
 

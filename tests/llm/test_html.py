@@ -37,6 +37,15 @@ def test_odd_pages():
     assert main_text(f"<article><p>{long}</p></article>") == long.strip()
 
 
+def test_boilerplate_names_around_the_article():
+    for head in ("div class='content has-sidebar'", "div class=content-sidebar-wrap", "div class='post comments-open'", "main class=has-sidebar", "div class='entry social'", "form action=x", "div class=has-sidebar"):
+        end = head.split()[0]
+        page = f"<body><div id=top><a href=1>Home</a></div><{head}><div>{BODY}</div><div class=sidebar><p>{LONG[0]}</p></div></{end}><div class=footer>us</div></body>"
+        assert main_text(page) == "\n".join(LONG), head
+    assert main_text(f"<body><div>{BODY}</div><div class=comments>{BODY * 3}</div></body>") == "\n".join(LONG)
+    assert main_text(f"<body><div hidden class=post>{BODY}</div><p>Short one.</p></body>") == "Short one."
+
+
 def test_rows(spark):
     rows = [(1, "u", "<p>a</p>"), (1, "u", "<p>a</p>"), (2, None, None), (None, "u", "")]
     out = extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
