@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import gc
+import re
 import shutil
 import tempfile
 from collections.abc import Iterator
@@ -19,6 +22,12 @@ SLICE_BYTES = 1 << 20
 #: For operators that need little more memory than the text, and gain from larger steps.
 LARGE_SLICE = 2 << 20
 
+#: Bytes of one Arrow batch between the JVM and a Python worker, about; and bytes of text between two releases of memory.
+BATCH_BYTES = 4 << 20
+RELEASE_BYTES = 8 << 20
+#: Bytes whose 64-bit intermediate values are held at once.
+HASH_STEP = 1 << 17
+
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 #: ASCII lower-casing by byte.
@@ -39,21 +48,37 @@ def splitmix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 _BYTE_VALUES = splitmix(np.arange(256, dtype=U64), 7)
-_powers = {"up": np.ones(1, U64), "down": np.ones(1, U64)}
 
 
-def _power(kind: str, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, or of its inverse; kept and grown by doubling."""
-    have, base = _powers[kind], _BASE if kind == "up" else _INVERSE
-    with np.errstate(over="ignore"):
-        while len(have) < n:
-            have = np.concatenate([have, have * U64(pow(base, len(have), 1 << 64))])
-    _powers[kind] = have
-    return have[:n]
+@functools.cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """base**0 .. base**HASH_STEP modulo 2**64, and of its inverse."""
+    out = []
+    for base in (_BASE, _INVERSE):
+        x = np.ones(1, U64)
+        with np.errstate(over="ignore"):
+            while len(x) <= HASH_STEP:
+                x = np.concatenate([x, x * U64(pow(base, len(x), 1 << 64))])
+        out.append(x[: HASH_STEP + 1].copy())
+    return out[0], out[1]
+
+
+@functools.cache
+def _allocator():
+    """The C library's release of freed memory, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Gives memory that this process has freed back to the machine; workers are kept between tasks, and so is what they hold."""
+    pa.default_memory_pool().release_unused()
+    if trim := _allocator():
+        trim(0)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the column's texts have about ``limit`` bytes in each; no row is lost, no order changed."""
+    since = 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -62,6 +87,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
+            since += int(size[a:b].sum())
+            if since > RELEASE_BYTES:
+                release()
+                since = 0
+    release()
 
 
 def raw(column: pa.Array) -> tuple[bytes, np.ndarray]:
@@ -85,18 +115,14 @@ class Words:
     def __init__(self, column: pa.Array, lower: bool = False):
         data, self.offsets = raw(column)
         self.data = data.translate(LOWER) if lower else data
+        del data
         self.bytes = np.frombuffer(self.data, np.uint8)
-        word = np.empty(len(self.bytes) + 1, bool)
-        np.take(~_WHITE, self.bytes, out=word[:-1])
-        word[-1] = False
-        before = np.empty_like(word)
-        before[0] = False
-        before[1:] = word[:-1]
-        at = self.offsets[:-1]
-        cut = np.zeros_like(word)
-        cut[at] = True
-        self.start = np.flatnonzero(word & (~before | cut))
-        self.end = np.flatnonzero(before & (~word | cut))
+        word = np.zeros(len(self.bytes) + 2, bool)  # with a place before and one after
+        np.take(~_WHITE, self.bytes, out=word[1:-1])
+        cut = np.zeros(len(self.bytes) + 1, bool)
+        cut[self.offsets[:-1]] = True
+        self.start = np.flatnonzero(word[1:] & (cut | ~word[:-1]))
+        self.end = np.flatnonzero(word[:-1] & (cut | ~word[1:]))
         self.first = np.searchsorted(self.start, self.offsets)
 
     def __len__(self) -> int:
@@ -107,13 +133,30 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        """One unsigned 64-bit hash for each word, from its bytes only."""
-        n = len(self.bytes)
+        """One unsigned 64-bit hash for each word, from its bytes only: a polynomial in them, by prefix sums over steps of bytes."""
+        up, down = _powers()
+        value = np.zeros(len(self.start), U64)
+        before = U64(0)
         with np.errstate(over="ignore"):
-            sums = np.zeros(n + 1, U64)
-            np.cumsum(_BYTE_VALUES[self.bytes] * _power("up", n), out=sums[1:])
-            value = (sums[self.end] - sums[self.start]) * _power("down", n + 1)[self.start]
-        return splitmix(value + (self.end - self.start).astype(U64))
+            for at in range(0, len(self.bytes), HASH_STEP):
+                b = self.bytes[at : at + HASH_STEP]
+                sums = np.zeros(len(b) + 1, U64)
+                np.cumsum(_BYTE_VALUES[b] * up[: len(b)], out=sums[1:])
+                sums *= U64(pow(_BASE, at, 1 << 64))
+                sums += before
+                s = slice(*np.searchsorted(self.start, [at, at + len(b)]))
+                e = slice(*np.searchsorted(self.end, [at, at + len(b)], side="right"))
+                value[s] -= sums[self.start[s] - at]
+                value[e] += sums[self.end[e] - at]
+                before = sums[-1]
+            for k in range(0, len(value), HASH_STEP):
+                v, at = value[k : k + HASH_STEP], self.start[k : k + HASH_STEP]
+                # base**-at, from its quotient and remainder by the step.
+                step, rest = np.divmod(at, HASH_STEP)
+                high = np.array([pow(_INVERSE, q * HASH_STEP, 1 << 64) for q in range(int(step[0]), int(step[-1]) + 1)], U64)
+                v *= down[rest] * high[step - step[0]]
+                v += (self.end[k : k + HASH_STEP] - at).astype(U64)
+        return splitmix(value)
 
 
 def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -150,16 +193,36 @@ def binaries(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def shared_folder(spark: SparkSession) -> None:
-    """Lets checkpoint() work: the folder of spark.checkpoint.dir, or a folder of this machine where that is unset (tests)."""
+    """Lets checkpoint() work, in the folder that spark.checkpoint.dir names, and bounds Arrow batches.
+
+    Where it is unset, a folder of this machine serves a local master (tests); executors elsewhere couldn't see one.
+    """
+    small_batches(spark)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         return
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="keystrata-checkpoint-")
         atexit.register(shutil.rmtree, where, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(where)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of an Arrow batch for the session, unless a smaller bound is set: by rows alone, long texts or sets make batches of 64 MB."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if _bytes(spark.conf.get(key, "64m")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def _bytes(text: str) -> int:
+    text = text.lower().rstrip("b")
+    scale = {"k": 10, "m": 20, "g": 30}.get(text[-1:])
+    value = int(text[:-1]) << scale if scale else int(text)
+    return value if value > 0 else 1 << 62
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows, written once to the shared checkpoint folder; lineage ends there.
 
