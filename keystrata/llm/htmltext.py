@@ -3,19 +3,21 @@
 A page is parsed into a tree by a tolerant tokeniser. Each paragraph-like block gives points, for its length and commas,
 to its parent, half of them to its grandparent and a third of them to the next ancestor; a container's points are
 discounted by its link density. Elements whose names tell boilerplate, and forms, are left out, unless they hold most of
-the page's unlinked text and have a content name too, are forms, or else next to nothing would be left. The best container is the article; siblings of it are kept where they score near it or are long
-paragraphs of few links.
+the page's unlinked text and have a content name too, are forms, or else next to nothing would be left. The best container
+is the article; siblings of it are kept where they score near it or are prose of few links. Nothing is recursive, so no
+depth of nesting is too deep.
 
 Defined cases: a null or empty page, or one without text, gives the empty string; scripts, styles, comments and other
 markup are dropped; an unclosed element ends with its parent; white space inside a block becomes one space; blocks are
 joined in page order by one newline; nothing is capped; rows that repeat a page give a row each; an empty table gives
-no rows.
+no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,8 +46,6 @@ BOILERPLATE = re.compile(
     re.I,
 )
 KEEP_NAME = re.compile(r"(?:^|[-_\s])(?:article|content|main|post|entry|story|body|text)(?:$|[-_\s])", re.I)
-#: Elements nested deeper are read in place: their text counts, their own level doesn't.
-DEEPEST = 300
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
@@ -54,12 +54,12 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("apart", "depth", "kids", "name", "named", "parent", "score", "shift")
+    __slots__ = ("apart", "content", "kids", "name", "named", "parent", "score", "shift")
 
     def __init__(self, name: str, parent: "Node | None", apart: bool = False, shift: float = 0.0, named: int = 0):
-        self.named = named
-        self.name, self.parent, self.apart, self.shift = name, parent, apart, shift
-        self.depth: int = 0 if parent is None else parent.depth + 1
+        self.name, self.parent, self.apart, self.shift, self.named = name, parent, apart, shift, named
+        #: Whether it or an element around it is an article, a main part or one named as content.
+        self.content: bool = parent is not None and (parent.content or shift > 0 or name in ("article", "main"))
         self.kids: list = []
         self.score = 0.0
 
@@ -95,10 +95,20 @@ def _described(name: str, attributes: str, inside: bool) -> tuple[bool, float, i
     return hidden or apart or name == "form", 25.0 if good and not bad and name != "form" else 0.0, named
 
 
-def parse(page: str) -> Node:
-    """The page's tree; a node's ``kids`` are nodes and text (str), in page order."""
+def parse(page: str) -> list[Node]:
+    """The page's elements in page order, the root first; a node's ``kids`` are nodes and text (str), in page order."""
     root = Node("html", None)
+    nodes = [root]
+    open_: Counter[str] = Counter()
     at, end = root, 0
+
+    def left(inner: Node, outer: Node) -> Node:
+        """``outer``, once all from ``inner`` up to it are ended."""
+        while inner is not outer:
+            open_[inner.name] -= 1
+            inner = inner.parent
+        return outer
+
     n = len(page)
     pos = 0
     while pos < n:
@@ -116,6 +126,8 @@ def parse(page: str) -> Node:
             if name == "br":
                 at.kids.append(" ")
                 continue
+            if not open_[name]:
+                continue
             node = at
             while node is not None and node.name != name:
                 # An inline end tag doesn't close blocks around it.
@@ -124,7 +136,7 @@ def parse(page: str) -> Node:
                     break
                 node = node.parent
             if node is not None and node.parent is not None:
-                at = node.parent
+                at = left(at, node.parent)
             continue
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, pos)
@@ -142,161 +154,173 @@ def parse(page: str) -> Node:
             while node.name not in BLOCK and node.parent is not None:
                 node = node.parent
             if node.name == "p" or node.name[0] == "h" and node.name[1:].isdigit() and name[0] == "h" and name[1:].isdigit():
-                at = node.parent
+                at = left(at, node.parent)
             elif node is not at:
-                at = node
+                at = left(at, node)
         if name in CLOSES:
             ends, until = CLOSES[name]
             ends = ends.split()
-            node, last = at, None
+            node, last = at if any(open_[x] for x in ends) else None, None
             while node is not None and node.name not in until:
                 if node.name in ends:
                     last = node
                 node = node.parent
             if last is not None:
-                at = last.parent
+                at = left(at, last.parent)
         if name in ("html", "body") and at is not root:
             continue
-        if at.depth >= DEEPEST:
-            if name in BLOCK:
-                at.kids.append(Node("hr", at))
-            continue
-        inside, node = False, at
-        while node is not None and not inside:
-            inside = node.name in ("article", "main")
-            node = node.parent
-        apart, shift, named = _described(name, attributes, inside)
+        apart, shift, named = _described(name, attributes, at.content)
         child = Node(name, at, apart, shift, named)
         at.kids.append(child)
+        nodes.append(child)
+        open_[name] += 1
         at = child
     if end < n:
         at.kids.append(page[end:])
-    return root
-
-
-def _measure(node: Node, linked: bool, scores: dict) -> tuple[int, int]:
-    """Text and link-text length below a node without boilerplate; paragraphs' points go to their ancestors."""
-    stack_text, stack_link, own, commas = 0, 0, 0, 0
-    for kid in node.kids:
-        if isinstance(kid, str):
-            t = len(kid.strip())
-            stack_text += t
-            own += t
-            commas += kid.count(",")
-            if linked:
-                stack_link += t
-        elif not kid.apart:
-            t, x = _measure(kid, linked or kid.name == "a", scores)
-            stack_text += t
-            stack_link += x
-            if kid.name not in BLOCK:
-                own += t
-                commas += _commas(kid)
-    scores[id(node)] = (stack_text, stack_link)
-    if node.name in PARAGRAPH and own >= 1:
-        density = min(1.0, stack_link / max(1, stack_text))
-        points = (1 + commas + min(3.0, own / 100)) * (1 - density) * (0.2 if own < 25 else 1.0)
-        above = node.parent if node.name not in ("div", "section", "article", "main", "body") else node
-        for divisor in (1, 2, 3):
-            if above is None:
-                break
-            above.score += points / divisor
-            above = above.parent
-    return stack_text, stack_link
+    return nodes
 
 
-def _commas(node: Node) -> int:
-    return sum(k.count(",") if isinstance(k, str) else 0 if k.apart or k.name in BLOCK else _commas(k) for k in node.kids)
+def _visible(nodes: list[Node]) -> list[Node]:
+    """Those that neither are boilerplate nor lie in it."""
+    hidden: set[int] = set()
+    out = []
+    for node in nodes:
+        if node.apart or node.parent is not None and id(node.parent) in hidden:
+            hidden.add(id(node))
+        else:
+            out.append(node)
+    return out
+
 
+def _measure(visible: list[Node]) -> dict[int, tuple[int, int]]:
+    """Text and link-text length of each visible element; paragraphs' points go to their ancestors."""
+    linked: set[int] = set()
+    for node in visible:
+        node.score = 0.0
+        if node.name == "a" or node.parent is not None and id(node.parent) in linked:
+            linked.add(id(node))
+    lengths: dict[int, tuple[int, int]] = {}
+    commas: dict[int, int] = {}
+    for node in reversed(visible):  # what is in an element comes after it
+        text = link = own = comma = 0
+        for kid in node.kids:
+            if isinstance(kid, str):
+                t = len(kid.strip())
+                text += t
+                own += t
+                comma += kid.count(",")
+                link += t if id(node) in linked else 0
+            elif id(kid) in lengths:
+                t, x = lengths[id(kid)]
+                text += t
+                link += x
+                if kid.name not in BLOCK:
+                    own += t
+                    comma += commas[id(kid)]
+        lengths[id(node)], commas[id(node)] = (text, link), comma
+        if node.name in PARAGRAPH and own >= 1:
+            density = min(1.0, link / max(1, text))
+            points = (1 + comma + min(3.0, own / 100)) * (1 - density) * (0.2 if own < 25 else 1.0)
+            above = node.parent if node.name not in ("div", "section", "article", "main", "body") else node
+            for divisor in (1, 2, 3):
+                if above is None:
+                    break
+                above.score += points / divisor
+                above = above.parent
+    return lengths
 
-def _containers(node: Node):
-    for kid in node.kids:
-        if not isinstance(kid, str) and not kid.apart:
-            if kid.name in CONTAINER:
-                yield kid
-            yield from _containers(kid)
 
+def _blocks(top: Node, out: list[str]) -> None:
+    """Appends the text of each block below an element, in page order."""
+    held: list[str] = []
 
-def _blocks(node: Node, out: list[str], held: list[str]) -> None:
     def flush():
         text = SPACE.sub(" ", entities.unescape("".join(held))).strip()
         if text:
             out.append(text)
         held.clear()
 
-    for kid in node.kids:
-        if isinstance(kid, str):
-            held.append(kid)
-        elif kid.apart:
-            flush()
-        elif kid.name in BLOCK:
-            flush()
-            _blocks(kid, out, held)
-            flush()
+    walk = [(top, iter(top.kids))]
+    while walk:
+        node, kids = walk[-1]
+        for kid in kids:
+            if isinstance(kid, str):
+                held.append(kid)
+            elif kid.apart:
+                flush()
+            else:
+                if kid.name in BLOCK:
+                    flush()
+                walk.append((kid, iter(kid.kids)))
+                break
         else:
-            _blocks(kid, out, held)
-    if node.name in BLOCK:
-        flush()
+            walk.pop()
+            if node.name in BLOCK:
+                flush()
+    flush()
 
 
-def _unlinked(node: Node, sizes: dict[int, int]) -> int:
-    """Text below a node that no link holds, with what is apart by its name only."""
-    n = sum(len(k.strip()) if isinstance(k, str) else 0 if k.name == "a" or k.apart and not k.named else _unlinked(k, sizes) for k in node.kids)
-    sizes[id(node)] = n
-    return n
+def _unlinked(nodes: list[Node]) -> dict[int, int]:
+    """By element: text in it that no link holds, with what is apart by its name only."""
+    sizes: dict[int, int] = {}
+    for node in reversed(nodes):
+        sizes[id(node)] = sum(len(k.strip()) if isinstance(k, str) else 0 if k.name == "a" or k.apart and not k.named else sizes.get(id(k), 0) for k in node.kids)
+    return sizes
 
 
-def _spare(node: Node, sizes: dict[int, int], most: float, least: int) -> bool:
+def _spare(root: Node, sizes: dict[int, int], most: float, least: int) -> bool:
     """Takes in again what is apart by its name (rated ``least`` or more) and holds more than ``most`` of text; whether there was any."""
-    some = False
-    for kid in node.kids:
-        if isinstance(kid, str) or sizes.get(id(kid), 0) <= most:
-            continue
-        if kid.apart and kid.named >= least:
-            kid.apart, some = False, True
-        if not kid.apart:
-            some |= _spare(kid, sizes, most, least)
+    some, todo = False, [root]
+    while todo:
+        for kid in todo.pop().kids:
+            if isinstance(kid, str) or sizes.get(id(kid), 0) <= most:
+                continue
+            if kid.apart and kid.named >= least:
+                kid.apart, some = False, True
+            if not kid.apart:
+                todo.append(kid)
     return some
 
 
-def _clear(node: Node) -> None:
-    node.score = 0.0
-    for kid in node.kids:
-        if not isinstance(kid, str):
-            _clear(kid)
-
-
 def main_text(page: str | None) -> str:
     """The article of a page."""
     if not page:
         return ""
-    root = parse(page)
-    sizes: dict[int, int] = {}
-    whole = _unlinked(root, sizes)
-    _spare(root, sizes, whole / 2, 2)
-    text = _article(root)
-    if 10 * len(text) < whole and _spare(root, sizes, whole / 2, 1):
-        _clear(root)
-        text = _article(root)
+    nodes = parse(page)
+    sizes = _unlinked(nodes)
+    whole = sizes[id(nodes[0])]
+    _spare(nodes[0], sizes, whole / 2, 2)
+    text = _article(nodes)
+    if 10 * len(text) < whole and _spare(nodes[0], sizes, whole / 2, 1):
+        text = _article(nodes)
     return text
 
 
-def _article(root: Node) -> str:
+def _article(nodes: list[Node]) -> str:
     """The text of the best container and of siblings like it."""
-    lengths: dict[int, tuple[int, int]] = {}
-    _measure(root, False, lengths)
+    visible = _visible(nodes)
+    lengths = _measure(visible)
 
     def total(node: Node) -> float:
         text, link = lengths[id(node)]
         bonus = 25.0 if node.name in ("article", "main") and text else 0.0
         return (node.score + node.shift * (node.score > 0) + bonus) * (1 - min(1.0, link / max(1, text)))
 
+    def prose(node: Node) -> bool:
+        """Paragraphs and the like, whatever their length, and sections of such; short ones need a heading."""
+        if node.name in ("p", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "figure", "table", "dl"):
+            return lengths[id(node)][0] > 0
+        if node.name not in ("div", "section", "article", "ul", "ol"):
+            return False
+        kinds = {k.name for k in node.kids if not isinstance(k, str) and lengths.get(id(k), (0, 0))[0]}
+        return node.score > 0 and (lengths[id(node)][0] > 60 or bool(kinds & {"h1", "h2", "h3", "h4", "h5", "h6"}) and "p" in kinds)
+
     best, top = None, 0.0
-    for node in _containers(root):
-        if (t := total(node)) > top:
+    for node in visible[1:]:
+        if node.name in CONTAINER and (t := total(node)) > top:
             best, top = node, t
     if best is None:
-        best = root
+        best = nodes[0]
     chosen = [best]
     if best.parent is not None:
         chosen = []
@@ -307,18 +331,11 @@ def _article(root: Node) -> str:
                 chosen.append(kid)
             elif kid.name in BLOCK and id(kid) in lengths:
                 text, link = lengths[id(kid)]
-                density = link / max(1, text)
-                scored = total(kid) >= max(10.0, 0.2 * top)
-                heading = kid.name in ("h1", "h2", "h3") and text > 0
-                prose = kid.name in ("p", "div", "section", "blockquote", "pre") and text > 60 and kid.score + (kid.name == "p") > 0
-                if density < 0.25 and (scored or heading or prose):
+                if link / max(1, text) < 0.25 and (total(kid) >= max(10.0, 0.2 * top) or prose(kid)):
                     chosen.append(kid)
     out: list[str] = []
     for node in chosen:
-        held: list[str] = []
-        _blocks(node, out, held)
-        if text := SPACE.sub(" ", entities.unescape("".join(held))).strip():
-            out.append(text)
+        _blocks(node, out)
     return "\n".join(out)
 
 

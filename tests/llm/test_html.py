@@ -46,11 +46,32 @@ def test_boilerplate_names_around_the_article():
     assert main_text(f"<body><div hidden class=post>{BODY}</div><p>Short one.</p></body>") == "Short one."
 
 
+def test_names_that_only_sound_like_boilerplate():
+    for open_, close in (("<div class='legal article'>", "</div>"), ("<article><div class=discussion>", "</div></article>"), ("<main><div class='notice-board'>", "</div></main>"), ("<div class=widget><div class=text>", "</div></div>")):
+        assert main_text(f"<body><nav><a href=1>Home</a></nav>{open_}{BODY}{close}<footer>us</footer></body>") == "\n".join(LONG), open_
+
+
+def test_short_parts_beside_the_article():
+    page = f"<body><div class=wrap><header><a href=1>Site</a></header><div><h2>One</h2>{BODY}</div><p>The end.</p><section><h2>Two</h2><p>Short.</p></section><div><a href=2>More</a></div></div></body>"
+    assert main_text(page) == "\n".join(["One", *LONG, "The end.", "Two", "Short."])
+    page = f"<body><header><h1>Site</h1></header><div class=post><header><h1>Title</h1></header>{BODY}</div></body>"
+    assert main_text(page) == "\n".join(["Title", *LONG])
+
+
+def test_boilerplate_in_deep_pages():
+    for depth in (10, 310, 20_000):
+        page = "<div>" * depth + f"<nav><a href=1>Home</a> and more</nav><article>{BODY}<aside>see also</aside></article><form><p>Sign up</p></form>" + "</div>" * depth + "<footer>us</footer>"
+        assert main_text(page) == "\n".join(LONG), depth
+    assert main_text("<b>" * 3000 + f"<p>{LONG[0]}" + "</i>" * 3000) == LONG[0]
+
+
 def test_rows(spark):
     rows = [(1, "u", "<p>a</p>"), (1, "u", "<p>a</p>"), (2, None, None), (None, "u", "")]
     out = extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in out) == [(0, "", 0), (1, "a", 1), (1, "a", 1), (2, "", 0)]
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    clash = spark.createDataFrame([("x", 7, "u", "<p>a</p>", "y", "z")], "text string, page_id long, url string, html string, n_chars string, id string")
+    assert [tuple(r) for r in extract(clash).collect()] == [(7, "u", "a", 1)]
 
 
 def test_pages_table(spark):
