@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a Python worker holds at once (a longer single text forms its own slice).
@@ -25,6 +25,8 @@ LARGE_SLICE = 2 << 20
 #: Bytes of one Arrow batch between the JVM and a Python worker, about; and bytes of text between two releases of memory.
 BATCH_BYTES = 4 << 20
 RELEASE_BYTES = 8 << 20
+#: Small rows of a file.
+FILE_ROWS = 200_000
 #: Bytes whose 64-bit intermediate values are held at once.
 HASH_STEP = 1 << 17
 
@@ -223,14 +225,17 @@ def _bytes(text: str) -> int:
     return value if value > 0 else 1 << 62
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """The rows, written once to the shared checkpoint folder; lineage ends there.
 
-    Spark deletes shuffle files once the plans that made them are garbage on the driver, which may be long after; so the
+    ``rows``: about how many small ones there are at most, which are dealt to few files then (a file costs processes of its own
+    on some file systems). Spark deletes shuffle files once the plans that made them are garbage on the driver, which may be long after; so the
     driver's garbage is collected here.
     """
     spark = df.sparkSession
     shared_folder(spark)
+    if rows is not None:
+        df = df.repartition(rows // FILE_ROWS + 1)
     out = df.checkpoint(eager=True)
     del df
     gc.collect()
@@ -238,6 +243,32 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+class IdFilter:
+    """A bit for each hash of some ids: holds back most rows of other ids, never one of theirs.
+
+    It has 16 bits for each id (``many`` at most) up to 2 ** 28 bits, 32 MB, which bounds the broadcast; beyond, more rows pass.
+    """
+
+    def __init__(self, ids: DataFrame, many: int):
+        """``ids``: a column ``id``, repeats allowed."""
+        self.size = 1 << min(28, max(16, (16 * many).bit_length()))
+        place = ids.select(self.place("id").alias("h"))
+        bits = place.select(F.expr("shiftright(h, 6)").alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
+        words = np.zeros(self.size // 64, np.int64)
+        for batch in bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow().to_batches():
+            words[np.asarray(batch.column("word"))] = np.asarray(batch.column("bits"))
+        self._shared = ids.sparkSession.sparkContext.broadcast(words.view(U64))
+
+    def place(self, column: str) -> Column:
+        """The bit of an id."""
+        return F.pmod(F.xxhash64(column), F.lit(self.size))
+
+    def passes(self, place: pa.Array) -> np.ndarray:
+        """Whether the bits at these places are set."""
+        at = np.asarray(place)
+        return (self._shared.value[at >> 6] >> (at & 63).astype(U64)) & U64(1) == 1
+
+
 def estimated_parts(df: DataFrame, column: str, least: int, each: int) -> int:
     """Parts of ``each`` stored bytes of a text column, at least ``least``.
 

@@ -43,8 +43,8 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(u[keep]), pa.array(v[keep])], ["u", "v"])
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(u, v) edges of longs -> (node, component): for every node of an edge the smallest node it reaches."""
+def components(edges: DataFrame, rounds: int = 60, most: int | None = None) -> DataFrame:
+    """(u, v) edges of longs, of which there are at most ``most``, if known -> (node, component): for every node of an edge the smallest node it reaches."""
 
     def contracted(d: DataFrame, many: int) -> DataFrame:
         # Few edges are kept in few files, so that a round over them makes few shuffle files.
@@ -53,7 +53,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     def state(d: DataFrame) -> tuple:
         return tuple(d.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 30)))).first())
 
-    e = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), most)
     e = contracted(e, e.count())
     last = state(e)
     for _ in range(rounds):

@@ -11,7 +11,7 @@ never replicated. Results of shards meet by query, k rows from each shard at mos
 
 Defined cases: vectors that are null or hold a null or non-finite component take no part, as query or candidate; only
 vectors of equal length are compared; rows that repeat an id count as rows of their own, but never match their own id;
-ties go to the smaller id; an empty table gives no rows.
+ties go to the smaller id; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -5,17 +5,19 @@ every position, and a document's probabilities are the mean over all of its posi
 by backpropagation through time with Adam, each position of a window being labelled with its document's language.
 
 Texts are read whole, in windows of ``STEPS`` bytes side by side, so time and memory for a byte don't depend on a text's
-length. Training uses at most ``PER_LANGUAGE`` documents of each language, the first by a hash of doc_id, and a fixed
-seed (that bounds the sample to ``PER_LANGUAGE`` * ``MOST_LANGUAGES`` texts of ``TRAIN_CHARS`` characters); prediction sees nothing but the text.
+length. Training uses a bounded sample of labelled rows: of each language at most ``PER_LANGUAGE`` documents, the first by a
+hash of doc_id and text (fewer, but some of each, where languages are so many that it would be over ``SAMPLE`` in all), of
+each at most ``TEXT_WINDOWS`` windows, spread evenly over the whole text; and a fixed seed. Prediction sees nothing but the
+text.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; rows that repeat a doc_id give a row each;
-an empty table gives no rows; without labelled documents every text is ``und``.
+an empty table gives no rows; without labelled documents every text is ``und``; a column lang of more than ``SAMPLE`` values
+raises ValueError; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,8 +30,8 @@ from keystrata.llm.common import LOWER, raw, slices
 STEPS = 96
 HIDDEN = 8
 PER_LANGUAGE = 800
-#: Languages that are learned, the most frequent first, and characters of a document that training reads.
-MOST_LANGUAGES, TRAIN_CHARS = 200, 4000
+#: Documents of the whole sample, and windows of one.
+SAMPLE, TEXT_WINDOWS = 160_000, 32
 TRAIN_WINDOWS = 256
 TRAIN_ROUNDS = 700
 RATE = 0.01
@@ -172,13 +174,13 @@ def windows_of(data: bytes, offsets: np.ndarray, steps: int = STEPS) -> tuple[np
     return out.reshape(-1, steps), used, ends
 
 
-def train(texts: list[str], labels: list[str], rounds: int = TRAIN_ROUNDS, hidden: int = HIDDEN, seed: int = 1) -> Network:
+def train(texts: list[bytes], labels: list[str], rounds: int = TRAIN_ROUNDS, hidden: int = HIDDEN, seed: int = 1) -> Network:
     """A network trained on windows of the texts, languages in equal shares."""
     languages = sorted(set(labels))
     net = Network.start(languages, hidden, seed)
     if len(languages) < 2:
         return net
-    data, offsets = raw(pa.array(texts, pa.large_string()))
+    data, offsets = raw(pa.array(texts, pa.large_binary()))
     window, used, ends = windows_of(data.translate(LOWER), offsets)
     label = np.repeat(np.array([languages.index(x) for x in labels]), np.diff(ends))
     # Windows of one language are drawn by document, so that long ones don't outweigh.
@@ -215,22 +217,40 @@ def document_probabilities(net: Network, data: bytes, offsets: np.ndarray, chunk
     return (total[ends[1:]] - total[ends[:-1]]) / np.maximum(1, np.diff(offsets))[:, None]
 
 
+def spread(text: bytes, most: int = TEXT_WINDOWS) -> bytes:
+    """At most so many windows of a text, from its start to its end at even distances, one after another."""
+    many = -(-len(text) // STEPS)
+    if many <= most:
+        return text
+    return b"".join(text[STEPS * (i * many // most) :][:STEPS] for i in range(most))
+
+
 def fit(docs: DataFrame, learn: Column, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", per_language: int = PER_LANGUAGE) -> Network:
-    """A network from the documents that ``learn`` selects: at most ``per_language`` of each language, the first by a hash of the id."""
+    """A network from the documents that ``learn`` selects: at most ``per_language`` of each language, the first by a hash of id and text."""
     from pyspark.sql import Window
 
     chosen = docs.filter(learn & F.col(lang_column).isNotNull() & F.col(text_column).isNotNull())
-    ids = chosen.select(F.col(id_column).alias("id"), F.col(lang_column).alias("lang"), F.xxhash64(F.lit(3), F.col(id_column)).alias("h"))
+    chosen = chosen.select(F.col(lang_column).alias("lang"), F.xxhash64(F.lit(3), F.col(id_column), F.col(text_column)).alias("h"), F.col(text_column).alias("text"))
+    keys = chosen.select("lang", "h")
+    counts = keys.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = counts.count()
+    if languages > SAMPLE:
+        raise ValueError(f"{languages} values of {lang_column}; at most {SAMPLE} can be learned")
+    each = min(per_language, SAMPLE // max(1, languages))
     # Hashes beyond twice the share that is wanted are left out before rows of a language meet.
-    counts = ids.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
-    share = F.least(F.lit(1.0), (F.lit(2.0 * per_language) + 100) / F.col("n"))
-    ids = ids.join(F.broadcast(counts), "lang").filter((F.col("h") / F.lit(2.0**64) + 0.5) <= share)
-    order = Window.partitionBy("lang").orderBy("h", "id")
-    ids = ids.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_language).select("id", "lang").distinct()
-    texts = chosen.select(F.col(id_column).alias("id"), F.col(lang_column).alias("lang"), F.substring(text_column, 1, TRAIN_CHARS).alias("text"))
-    sample = texts.join(F.broadcast(ids), ["id", "lang"]).limit(2 * per_language * MOST_LANGUAGES)
-    rows = sorted((r["lang"], zlib.crc32(r["text"].encode()), r["text"]) for r in sample.select("lang", "text").toLocalIterator())
-    rows = [x for x in rows if LETTER.search(x[2])]
+    share = F.least(F.lit(1.0), (F.lit(2.0 * each) + 100) / F.col("n"))
+    keys = keys.join(F.broadcast(counts), "lang").filter((F.col("h") / F.lit(2.0**64) + 0.5) <= share).select("lang", "h").distinct()
+    keys = keys.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("place") <= each).select("lang", "h")
+
+    def windows(batches):
+        for batch in slices(batches):
+            texts = batch.column("text").to_pylist()
+            some = pa.array([bool(LETTER.search(x)) for x in texts])
+            parts = pa.array([spread(x.encode()) for x in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), parts], ["lang", "h", "text"]).filter(some)
+
+    sample = chosen.join(F.broadcast(keys), ["lang", "h"]).mapInArrow(windows, "lang string, h long, text binary").dropDuplicates(["lang", "h"])
+    rows = sorted((r["lang"], r["h"], bytes(r["text"])) for r in sample.toLocalIterator())
     return train([x[2] for x in rows], [x[0] for x in rows])
 
 

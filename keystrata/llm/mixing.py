@@ -14,7 +14,8 @@ No group holds a source: running sums are by (source, bucket of the shuffle hash
 with prefix sums over buckets and chunks; the only one-partition step has one row for each source.
 
 Defined cases: a null text has size 0; a document of size 0 takes 0; null is a source of its own; rows that repeat a
-doc_id are rows of their own; an empty table gives no rows; all sizes 0 gives targets 0.
+doc_id are rows of their own; an empty table gives no rows; all sizes 0 gives targets 0; other columns, whatever their
+names, are ignored (``materialise`` keeps them).
 """
 
 from __future__ import annotations
@@ -95,12 +96,12 @@ def placed(sizes: DataFrame, sources: DataFrame, rows: int) -> DataFrame:
     """The documents with their source's code and their place ``start`` in its shuffled stream; (code, bucket, at) is a row's key."""
     buckets = max(64, rows // 1000)
     salted = sources.select("source", "code", "source_size", "target", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    shuffled = F.coalesce(F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 15), 16, 10).cast("long"), F.lit(0))
+    shuffled = F.coalesce(F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 15), 16, 10).cast("long"), F.shiftrightunsigned("text_hash", 4))
     d = sizes.withColumn("h", shuffled).withColumn("salt", F.pmod("h", F.lit(SALTS)).cast("int"))
     d = d.alias("d").join(salted.alias("s"), F.col("d.salt").eqNullSafe(F.col("s.salt")) & F.col("d.source").eqNullSafe(F.col("s.source")))
-    d = d.select("d.doc_id", "d.size", "d.h", "s.code", "s.source_size", "s.target")
+    d = d.select("d.doc_id", "d.size", "d.h", "d.text_hash", "s.code", "s.source_size", "s.target")
     d = d.withColumn("bucket", F.pmod(F.shiftright("h", 8), F.lit(buckets)).cast("int"))
-    order = Window.partitionBy("code", "bucket").orderBy("h", "doc_id", "size")
+    order = Window.partitionBy("code", "bucket").orderBy("h", "doc_id", "size", "text_hash")
     d = d.withColumn("at", F.row_number().over(order)).withColumn("within", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     totals = d.groupBy("code", "bucket").agg(F.sum("size").alias("n"))
     before = F.sum("n").over(Window.partitionBy("code").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
@@ -111,7 +112,7 @@ def placed(sizes: DataFrame, sources: DataFrame, rows: int) -> DataFrame:
 def _taken(docs: DataFrame, weights, share: float, block: int) -> DataFrame:
     """The pieces of the documents that the schedule's blocks hold: a row's key and columns, epoch, from, length (null: none taken)."""
     spark = docs.sparkSession
-    sizes = cut(word_counts(docs.select("doc_id", "source", "text")))
+    sizes = cut(word_counts(docs.select("doc_id", "source", "text", F.xxhash64("text").alias("text_hash"))))
     rows, words = sizes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     sources = cut(targets(sizes, weights, share))
     slots = schedule(spark, sources, math.ceil(words * share / block))
@@ -140,16 +141,16 @@ def materialise(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, block: i
     """The mix as documents: a row for each epoch in which a document is taken, with the words taken of it (all: the text as it is).
 
     A source's blocks are taken from the first on, so what is taken of a document in an epoch is a run of its words.
-    ``n_chars``, where there is one, counts the new text. Documents of no words are not in the mix; rows that share a
-    doc_id take the run of the first of them.
+    ``n_chars``, where there is one, counts the new text. Documents of no words are not in the mix; rows that share doc_id and
+    text (null ones too) take the run of the first of them.
     """
     pieces = _taken(docs, weights, share, block).filter("length > 0")
-    runs = pieces.groupBy("doc_id", "code", "bucket", "at", "epoch", "size").agg(F.min("from").alias("_mix_start"), F.sum("length").alias("_mix_words"))
-    place = F.row_number().over(Window.partitionBy("doc_id", "epoch").orderBy("code", "bucket", "at"))
+    runs = pieces.groupBy("doc_id", "text_hash", "code", "bucket", "at", "epoch", "size").agg(F.min("from").alias("_mix_start"), F.sum("length").alias("_mix_words"))
+    place = F.row_number().over(Window.partitionBy("doc_id", "text_hash", "epoch").orderBy("code", "bucket", "at"))
     runs = runs.withColumn("place", place).filter("place = 1")
-    runs = runs.select(F.col("doc_id").alias("_mix_id"), "_mix_start", "_mix_words", (F.col("_mix_words") == F.col("size")).alias("_mix_whole"))
+    runs = runs.select(F.col("doc_id").alias("_mix_id"), F.col("text_hash").alias("_mix_text"), "_mix_start", "_mix_words", (F.col("_mix_words") == F.col("size")).alias("_mix_whole"))
     names = docs.columns
-    joined = docs.join(runs, docs["doc_id"].eqNullSafe(runs["_mix_id"])).select(*(docs[c] for c in names), "_mix_start", "_mix_words", "_mix_whole")
+    joined = docs.join(runs, docs["doc_id"].eqNullSafe(runs["_mix_id"]) & (F.xxhash64(docs["text"]) == runs["_mix_text"])).select(*(docs[c] for c in names), "_mix_start", "_mix_words", "_mix_whole")
 
     def work(batches):
         for batch in slices(batches):

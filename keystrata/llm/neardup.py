@@ -16,8 +16,9 @@ With 20 trees a pair of similarity s shares a prefix of three in one tree or mor
 0.99998 at s = 0.75. Two that do meet, whatever the size of the region.
 
 Nothing is grouped by a hot key: trees are range-partitioned by their whole sort key, classes and components use partial
-aggregation, and joins are ones that adaptive execution may split. Sets of documents without candidates are not moved (a
-bit filter of fixed size keeps them back; it may let others pass, never loses one).
+aggregation, joins are ones that adaptive execution may split, and rows of the few classes that are large (at most
+``HOT_CLASSES`` can be) find their component by a broadcast. Sets of documents without candidates are not moved (a bit
+filter keeps them back; it may let others pass, never loses one).
 
 Defined cases: a null or blank text has no shingles and is linked with nothing; with fewer than five words the whole
 sequence is one shingle; rows that repeat a doc_id are one node and give a row each; a null doc_id is linked with
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import Words, binaries, cut, rolling, slices, splitmix
+from keystrata.llm.common import IdFilter, Words, binaries, cut, raw, rolling, shared_folder, slices, splitmix
 from keystrata.llm.graph import components
 
 SHINGLE = 5
@@ -42,10 +43,11 @@ RUN = 8
 NEAREST = 2
 #: Similarity as a fraction of whole numbers: link where 100 * intersection >= 75 * union.
 NUMERATOR, DENOMINATOR = 75, 100
-FILTER_BITS = 1 << 25
 #: Shingles are put in order by counts of so many hash ranges (any order serves; rare shingles first makes few pairs).
 ORDER_BITS = 22
 PARTITION_ROWS = 200_000
+#: A class is large where it has this many rows, and more than one in ``HOT_CLASSES`` of all.
+LARGE_CLASS, HOT_CLASSES = 10_000, 5_000
 #: Components of more members have hubs; how many, and how often they are tried at most. A class is compared with them
 #: that met the component this often over all trees (one with a link does so but for a chance of some 0.0005).
 LARGE, HUBS, HUB_ROUNDS, MEETINGS = 16, 32, 4, 3
@@ -143,7 +145,7 @@ def candidates(classes: DataFrame, partitions: int) -> DataFrame:
             for k in range(0, whole.num_rows, 2000):
                 batch = whole.slice(k, 2000)
                 n = batch.num_rows
-                signature = np.frombuffer(b"".join(batch.column("signature").to_pylist()), ">u4").reshape(n, -1)
+                signature = np.frombuffer(raw(batch.column("signature"))[0], ">u4").reshape(n, -1)
                 keys = signature[:, _LEVELS.ravel()].ravel()
                 ids = np.repeat(np.asarray(batch.column("rep")), TREES)
                 size = np.repeat(np.asarray(batch.column("n_shingles")), TREES)
@@ -155,7 +157,7 @@ def candidates(classes: DataFrame, partitions: int) -> DataFrame:
             return
         t = pa.Table.from_batches(held).combine_chunks()
         ids, size = np.asarray(t.column("id").chunk(0)), np.asarray(t.column("n").chunk(0))
-        keys = np.frombuffer(b"".join(t.column("key").to_pylist()), ">u4").reshape(len(ids), LEVELS)
+        keys = np.frombuffer(raw(t.column("key").chunk(0))[0], ">u4").reshape(len(ids), LEVELS)
         trees = np.asarray(t.column("tree").chunk(0))
         crowd = pa.array(np.unique(ids[crowded(keys, trees)]))
         yield pa.RecordBatch.from_arrays([crowd, crowd], ["a", "b"])
@@ -171,31 +173,18 @@ def candidates(classes: DataFrame, partitions: int) -> DataFrame:
     return order.mapInArrow(harvest, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("trees"))
 
 
-def _id_filter(ids: DataFrame) -> np.ndarray:
-    """A bit for each hash of the ids, packed; of fixed size whatever their number."""
-    place = ids.select(F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("h"))
-    bits = place.select(F.expr("shiftright(h, 6)").alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
-    words = np.zeros(FILTER_BITS // 64, np.int64)
-    for row in bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow().to_batches():
-        words[np.asarray(row.column("word"))] = np.asarray(row.column("bits"))
-    return words.view(np.uint64)
-
-
-def full_sets(docs: DataFrame, ids: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(id, shingles) of the documents whose id passes a bit filter of ``ids``; a few others may pass."""
-    shared = docs.sparkSession.sparkContext.broadcast(_id_filter(ids))
+def full_sets(docs: DataFrame, ids: DataFrame, many: int, id_column: str, text_column: str) -> DataFrame:
+    """(id, shingles) of the documents whose id passes a bit filter of ``ids`` (``many`` at most); a few others may pass."""
+    wanted = IdFilter(ids, many)
 
     def work(batches):
-        bits = shared.value
         for whole in batches:
-            at = np.asarray(whole.column("at"))
-            keep = (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-            for batch in slices([whole.filter(pa.array(keep))]):
+            for batch in slices([whole.filter(pa.array(wanted.passes(whole.column("at"))))]):
                 sets, bounds = shingle_sets(Words(batch.column("text"), lower=True))
                 yield pa.RecordBatch.from_arrays([batch.column("id"), binaries(sets, bounds)], ["id", "shingles"])
 
     picked = docs.filter(docs[id_column].isNotNull()).select(docs[id_column].cast("long").alias("id"), docs[text_column].alias("text"))
-    return picked.withColumn("at", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))).mapInArrow(work, "id long, shingles binary")
+    return picked.withColumn("at", wanted.place("id")).mapInArrow(work, "id long, shingles binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -222,7 +211,7 @@ def _order(sets: DataFrame) -> np.ndarray:
 
     def work(batches):
         for batch in batches:
-            flat = np.frombuffer(b"".join(batch.column("shingles").to_pylist()), np.uint64)
+            flat = np.frombuffer(raw(batch.column("shingles"))[0], np.uint64)
             bins, n = np.unique(flat >> np.uint64(64 - ORDER_BITS), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(bins.astype(np.int64)), pa.array(n)], ["bin", "n"])
 
@@ -274,16 +263,16 @@ def _with_components(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return both.select("a", "b", "trees", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).filter("ca <> cb")
 
 
-def _hubs(found: DataFrame, classes: DataFrame) -> DataFrame:
+def _hubs(found: DataFrame, classes: DataFrame, most: int) -> DataFrame:
     """(component, node): of each large component the members whose signatures agree most with its commonest values."""
     large = found.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > LARGE).select("component")
     members = found.join(large, "component", "left_semi").join(classes.select(F.col("rep").alias("node"), "signature"), "node").select("component", "node", "signature")
-    members = cut(members)
+    members = cut(members, most)
 
     def values(batches):
         for batch in batches:
             n = len(_PERMUTATIONS)
-            flat = np.frombuffer(b"".join(batch.column("signature").to_pylist()), ">u4").astype(np.int64)
+            flat = np.frombuffer(raw(batch.column("signature"))[0], ">u4").astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column("component")), n)), pa.array(np.tile(np.arange(n, dtype=np.int32), batch.num_rows)), pa.array(flat)], ["component", "place", "value"])
 
     counts = members.select("component", "signature").mapInArrow(values, "component long, place int, value long").groupBy("component", "place", "value").agg(F.count("*").alias("n"))
@@ -292,7 +281,7 @@ def _hubs(found: DataFrame, classes: DataFrame) -> DataFrame:
 
     def agreement(batches):
         for batch in batches:
-            own = np.frombuffer(b"".join(batch.column("signature").to_pylist()), ">u4").reshape(batch.num_rows, -1)
+            own = np.frombuffer(raw(batch.column("signature"))[0], ">u4").reshape(batch.num_rows, -1)
             wanted = np.array(batch.column("common").to_pylist(), np.int64).reshape(own.shape)
             yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("node"), pa.array((own == wanted).sum(axis=1))], ["component", "node", "agreement"])
 
@@ -310,36 +299,42 @@ def _hub_pairs(apart: DataFrame, hubs: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
+    shared_folder(docs.sparkSession)
     rows = cut(sketches(docs, id_column, text_column))
     linked = rows.filter("n_shingles > 0 and doc_id is not null")
     keys = ["s1", "s2", "n_shingles"]
-    reps = linked.groupBy(*keys).agg(F.min("doc_id").alias("rep"))
+    reps = linked.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"))
     same = [F.col(f"r.{k}") == F.col(f"c.{k}") for k in keys]
     classes = cut(linked.alias("r").join(reps.alias("c"), [*same, F.col("r.doc_id") == F.col("c.rep")]).select("c.rep", "r.s1", "r.s2", "r.n_shingles", "r.signature"))
     many = classes.count()
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), many * TREES // PARTITION_ROWS + 1)
     met = cut(candidates(classes, parts))
     crowd, pairs = met.filter("a = b").select(F.col("a").alias("id")), met.filter("a <> b")
-    sets = cut(full_sets(docs, met.select(F.explode(F.array("a", "b")).alias("id")).distinct(), id_column, text_column))
+    most = met.count()
+    sets = cut(full_sets(docs, met.select(F.explode(F.array("a", "b")).alias("id")), 2 * most, id_column, text_column))
     # A repeated doc_id may bring other texts along, or equal sets under one id: all count for the node.
     shared = classes.groupBy("s1", "s2", "n_shingles").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).filter("u <> v").select("u", "v")
     best = Window.partitionBy("b").orderBy(F.desc("trees"), "a")
     ranked = pairs.withColumn("place", F.row_number().over(best))
-    edges = cut(confirmed(ranked.filter("place = 1"), sets).unionByName(shared))
-    found = cut(components(edges))
-    more = cut(confirmed(_with_components(ranked.filter("place > 1"), found), sets))
+    # Pairs of classes, and what follows from them, are about as many as candidates at most.
+    edges = cut(confirmed(ranked.filter("place = 1"), sets).unionByName(shared), most)
+    found = cut(components(edges, most=most), most)
+    more = cut(confirmed(_with_components(ranked.filter("place > 1"), found), sets), most)
     for turn in range(HUB_ROUNDS + 1):
         grown = more.limit(1).count() > 0
         if grown:
-            edges = cut(edges.unionByName(more))
-            found = cut(components(edges))
+            edges = cut(edges.unionByName(more), most)
+            found = cut(components(edges, most=most), most)
         if turn == HUB_ROUNDS or turn and not grown:
             break
-        more = cut(confirmed(_hub_pairs(_with_components(pairs, found), _hubs(found, classes)), sets))
-    more = cut(confirmed(_exact_pairs(crowd, found, sets), sets))
+        more = cut(confirmed(_hub_pairs(_with_components(pairs, found), _hubs(found, classes, most)), sets), most)
+    more = cut(confirmed(_exact_pairs(crowd, found, sets), sets), most)
     if more.limit(1).count() > 0:
-        found = cut(components(edges.unionByName(more)))
-    labels = reps.join(found, reps["rep"] == found["node"], "left").select(*keys, F.coalesce("component", "rep").alias("component_id"))
-    out = linked.select("doc_id", *keys).join(labels, keys).select("doc_id", "n_shingles", "component_id")
+        found = cut(components(edges.unionByName(more), most=most), most)
+    labels = reps.join(found, reps["rep"] == found["node"], "left").select(*keys, "members", F.coalesce("component", "rep").alias("component_id"))
+    large = F.col("members") > max(LARGE_CLASS, rows.count() // HOT_CLASSES)
+    hot = F.broadcast(labels.filter(large).drop("members"))
+    few = linked.select("doc_id", *keys)
+    out = few.join(hot, keys).unionByName(few.join(hot, keys, "left_anti").join(labels.filter(~large).drop("members"), keys)).select("doc_id", "n_shingles", "component_id")
     alone = rows.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

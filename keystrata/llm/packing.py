@@ -10,7 +10,7 @@ Tokenising goes by words: the tokeniser drops white space and never joins across
 words in order. Each word is encoded once per worker and found again by a 64-bit hash in a cache of bounded size.
 
 Defined cases: a null text is empty and still has its end token; rows that repeat a doc_id are rows of their own; an
-empty table gives no rows; very long texts give many whole windows.
+empty table gives no rows; very long texts give many whole windows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -2,14 +2,15 @@
 
 Which documents may share a window of ``WINDOW`` words is found first. A run of rows hashes its windows, keeps each
 window once with its smallest doc_id (pre-aggregation: a window in a third of all rows moves once per run), and deals
-40-bit hashes to shards by a minimiser of the window's words; a shard tells which (document, earlier document) pairs share one. Hashes only propose: pairs
-are then confirmed. Each unit (an earlier document and a bounded number of later ones) goes to a shard of its own, which
+40-bit hashes to shards by a minimiser of the window's words; a shard tells which (document, earlier document) pairs share
+one. Minimisers that are frequent words' own (counted over all rows first) are split by the window's hash, so that no phrase,
+however common, fills a shard. Hashes only propose: pairs are then confirmed. Each unit (an earlier document and a bounded number of later ones) goes to a shard of its own, which
 compiles the windows that recur there into an Aho-Corasick automaton over whole words and streams every document of the
 shard through it. All occurrences are located exactly; their covered words come back as bit maps.
 
 Defined cases: a null text has no words; texts of fewer than 13 words lose nothing; repeats within one document are
 kept; rows that repeat a doc_id do not remove each other; a null doc_id neither removes nor loses words; an empty table
-gives no rows.
+gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -21,8 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import LARGE_SLICE, Words, cut, estimated_parts, ragged, rolling, slices, splitmix
-from keystrata.llm.neardup import FILTER_BITS, _id_filter
+from keystrata.llm.common import LARGE_SLICE, IdFilter, Words, cut, estimated_parts, ragged, rolling, shared_folder, slices, splitmix
 
 WINDOW = 13
 HASH_BITS = 40
@@ -32,6 +32,8 @@ LEAST_SHARDS = 256
 #: Later documents of one unit, and units' pairs of one automaton shard.
 UNIT, SHARD_PAIRS = 128, 100
 PATTERNS = 40_000
+#: A run of three words counts as frequent from this share of a step's on.
+FREQUENT_SHARE = 1 / (1 << 16)
 
 
 def _distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -43,21 +45,63 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack([a[new], b[new]])
 
 
+def _triples(hashes: np.ndarray) -> np.ndarray:
+    return rolling(hashes, 3)
+
+
 def _minimisers(hashes: np.ndarray) -> np.ndarray:
-    """For each window the smallest hash of three neighbouring words in it, mixed again.
+    """For each window the smallest hash of three neighbouring words in it.
 
     Equal windows have equal ones, and neighbouring windows mostly share theirs, so that a passage meets in few shards.
     """
-    m = rolling(hashes, 3)
+    m = _triples(hashes)
     for step in (1, 2, 4, WINDOW - 10):
         m = np.minimum(m[:-step], m[step:])
+    return m
+
+
+def _splits(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of frequent runs of three words, sorted, and among how many shards the windows they stand for are dealt.
+
+    Every run counts in the steps in which it is frequent. Windows of those never frequent are no more than their share of a shard's.
+    """
+
+    def work(batches):
+        for batch in slices(batches, limit=LARGE_SLICE):
+            words = Words(batch.column("text"))
+            n = np.maximum(words.counts - 2, 0)
+            found = np.sort(_triples(words.hashes())[ragged(words.first[:-1], n)])
+            if not len(found):
+                continue
+            new = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+            times = np.diff(np.append(new, len(found)))
+            often = times >= max(2, len(found) * FREQUENT_SHARE)
+            yield pa.RecordBatch.from_arrays([pa.array(found[new][often].view(np.int64)), pa.array(times[often])], ["triple", "n"])
+
+    # One run of three words may stand for all windows around it.
+    needed = F.ceil(F.sum("n") * (WINDOW - 2) / F.lit(SHARD_WINDOWS))
+    found = docs.select("text").mapInArrow(work, "triple long, n long").groupBy("triple").agg(needed.alias("parts")).filter("parts > 1").toArrow()
+    triple, parts = (np.asarray(found.column(c).combine_chunks()) for c in ("triple", "parts"))
+    order = np.argsort(triple.view(np.uint64))
+    return triple.view(np.uint64)[order], parts.astype(np.uint64)[order]
+
+
+def _homes(hashes: np.ndarray, windows: np.ndarray, often: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """What a window's shard follows from: its minimiser, and of a frequent one a part by the window's hash."""
+    m = _minimisers(hashes)
+    if len(often):
+        at = np.minimum(np.searchsorted(often, m), len(often) - 1)
+        hot = np.flatnonzero(often[at] == m)
+        m[hot] += splitmix((windows[hot] >> np.uint64(8)) % parts[at[hot]], 43)
     return splitmix(m, 41)
 
 
-def _proposals(docs: DataFrame, count: int) -> DataFrame:
+def _proposals(docs: DataFrame, count: int, splits: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """A shard's hashes with their documents (runs of id, length); without hashes: pairs later/earlier found within a run of rows."""
+    shared = docs.sparkSession.sparkContext.broadcast(splits)
 
     def work(batches):
+        often, parts = shared.value
         for batch in slices(batches, limit=LARGE_SLICE):
             words = Words(batch.column("text"))
             ids = np.asarray(batch.column("id"))
@@ -66,7 +110,8 @@ def _proposals(docs: DataFrame, count: int) -> DataFrame:
                 continue
             hashes = words.hashes()
             at = ragged(words.first[:-1], n)
-            h, home = rolling(hashes, WINDOW)[at], _minimisers(hashes)[at]
+            windows = rolling(hashes, WINDOW)
+            h, home = windows[at], _homes(hashes, windows, often, parts)[at]
             doc = np.repeat(np.arange(len(n)), n)
             owner = ids[doc]
             order = np.lexsort((owner, h))
@@ -124,18 +169,14 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.table({"d": pairs[0], "m": pairs[1]})
 
 
-def _flags(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents with ``flagged``: whether the id passes a bit filter of ``ids`` (all of those do)."""
-    shared = docs.sparkSession.sparkContext.broadcast(_id_filter(ids))
+def _flags(docs: DataFrame, wanted: IdFilter) -> DataFrame:
+    """The documents whose id passes the filter."""
 
     def work(batches):
-        bits = shared.value
         for whole in batches:
-            at = np.asarray(whole.column("at"))
-            keep = (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-            yield from slices([whole.filter(pa.array(keep)).select(["id", "text"])])
+            yield from slices([whole.filter(pa.array(wanted.passes(whole.column("at")))).select(["id", "text"])])
 
-    return docs.filter("id is not null").withColumn("at", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))).mapInArrow(work, "id long, text string")
+    return docs.filter("id is not null").withColumn("at", wanted.place("id")).mapInArrow(work, "id long, text string")
 
 
 def _letters(words: Words) -> str:
@@ -198,11 +239,13 @@ def occurrences(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(per later document: id, key, maps; the texts of documents that may share something: id, text, key)."""
     # Stored text is compressed to about half, and a word takes some six bytes.
     count = estimated_parts(docs, "text", LEAST_SHARDS, 3 * SHARD_WINDOWS)
-    proposed = _proposals(docs.filter("id is not null and text is not null"), count)
+    known = docs.filter("id is not null and text is not null")
+    proposed = _proposals(known, count, _splits(known))
     pairs = cut(proposed.groupBy("shard").applyInArrow(_shared, "d long, m long").distinct())
-    texts = cut(_flags(docs, pairs.select(F.explode(F.array("d", "m")).alias("id")).distinct()).withColumn("key", F.xxhash64("text")))
+    found = pairs.count()
+    texts = cut(_flags(docs, IdFilter(pairs.select(F.explode(F.array("d", "m")).alias("id")), 2 * found)).withColumn("key", F.xxhash64("text")))
     per = pairs.groupBy("m").agg(F.count("*").alias("n")).select("m", F.ceil(F.col("n") / UNIT).cast("int").alias("salts"))
-    many = max(1, pairs.count() // SHARD_PAIRS)
+    many = max(1, found // SHARD_PAIRS)
     salted = pairs.join(per, "m").withColumn("salt", F.pmod(F.xxhash64(F.lit(5), "d"), F.col("salts")).cast("int"))
     unit = F.pmod(F.xxhash64("m", "salt"), F.lit(many)).cast("int")
     later = salted.select(F.col("d").alias("id"), unit.alias("unit")).distinct().withColumn("role", F.lit(1))
@@ -232,27 +275,23 @@ def _results(batch: pa.RecordBatch, removed) -> pa.RecordBatch:
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
+    shared_folder(docs.sparkSession)
     picked = docs.select(docs[id_column].cast("long").alias("id"), docs[text_column].alias("text"))
     maps, texts = occurrences(picked)
     maps = cut(maps)
-    touched = docs.sparkSession.sparkContext.broadcast(_id_filter(maps.select("id").distinct()))
+    touched = IdFilter(maps.select("id"), maps.count())
 
     def untouched(batches):
-        bits = touched.value
         for whole in batches:
-            at = np.asarray(whole.column("at"))
-            keep = (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 0
-            for batch in slices([whole.filter(pa.array(keep))]):
+            for batch in slices([whole.filter(pa.array(~touched.passes(whole.column("at"))))]):
                 yield _results(batch, [None] * batch.num_rows)
 
     def changed(batches):
         for batch in slices(batches):
             yield _results(batch, batch.column("maps").to_pylist())
 
-    at = F.coalesce(F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)), F.lit(0))
-    # A null id passes by a place of its own, so no filter bit hides it.
-    known = picked.filter("id is not null").withColumn("at", at).mapInArrow(untouched, _RESULT)
+    known = picked.filter("id is not null").withColumn("at", touched.place("id")).mapInArrow(untouched, _RESULT)
     nameless = picked.filter("id is null").withColumn("maps", F.lit(None).cast("array<binary>")).mapInArrow(changed, _RESULT)
-    some = _flags(picked, maps.select("id").distinct()).withColumn("key", F.xxhash64("text"))
+    some = _flags(picked, touched).withColumn("key", F.xxhash64("text"))
     rest = some.join(maps, ["id", "key"], "left").select("id", "text", "maps").mapInArrow(changed, _RESULT)
     return known.unionByName(rest).unionByName(nameless)

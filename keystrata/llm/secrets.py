@@ -6,7 +6,9 @@ where the decoded bytes parse: DER key encodings whose nested lengths fit exactl
 prefixes add up, and signed tokens whose first two parts decode to JSON objects naming an algorithm.
 
 Defined cases: a null text is empty and has no spans; offsets count code points, ends are exclusive; equal texts give
-equal spans; spans are ordered by start, then by the order of ``KINDS``; texts are scanned whole, whatever their length.
+equal spans; spans are ordered by start, then by the order of ``KINDS``; texts are scanned whole, whatever their length; rows that
+repeat a doc_id give a row each; an empty table gives no rows; other columns, whatever their names, are ignored (``redact``
+keeps them).
 """
 
 from __future__ import annotations
@@ -197,7 +199,6 @@ def _confirmed(text: str) -> Iterator[tuple[int, int, str]]:
     yield from seen
 
 
-_MAYBE_ASSIGN = re.compile(r"pass|secret|token|api", re.I | re.A)
 _LONG_RUN = re.compile(r"[A-Za-z0-9+/_-]{24}")
 
 

@@ -9,7 +9,8 @@ its own; the stored form is the tiles one after another. A tile's prefix code is
 repeated pixels become back-references, so equal payloads give equal bytes.
 
 Defined cases: a null or empty text is stored as one row of spaces; very long texts give many tiles; rows that repeat a
-doc_id give a row each; an empty table gives no rows; a damaged file raises ValueError.
+doc_id give a row each; an empty table gives no rows; other columns, whatever their names, are ignored; a damaged file
+raises ValueError.
 """
 
 from __future__ import annotations

@@ -63,6 +63,34 @@ def test_run_equals_stage_by_stage(spark, tmp_path):
     assert {(r.doc_id, r.ids_crc32) for r in out[out.length == out.doc_tokens].itertuples()} <= crc
 
 
+def test_repeats_nulls_and_long_texts(spark, tmp_path):
+    """Rows are decided one by one, whatever their ids; other columns stay."""
+    import random
+
+    r = random.Random(8)
+    prose = lambda n: " ".join(r.choice("the of and to in is you that it he was for on are as with his they at be this".split()) + r.choice(["", "s", "ing"]) for _ in range(n))
+    rows = [(i, prose(60), "en" if i % 2 else "de", "s1", 1) for i in range(40)]
+    long, one, two = prose(150_000), prose(50), prose(90)
+    rows += [(50, one, "en", "s1", 1), (50, two, "en", "s1", 1), (51, prose(40), "en", "s1", 1), (None, prose(70), "en", "s2", 1), (None, prose(80), "en", "s2", 1), (52, long, "en", "s1", 1), (53, None, "en", "s1", 1)]
+    rows += [rows[42], rows[42]]
+    docs = frame(spark, rows, clashing=True)
+    near = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert near.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in near.collect()) == Counter({(i, t): 1 for i, t, *_ in rows})
+    secret = corpus_pipeline.secret_stage(spark, near, "")
+    mixed = corpus_pipeline.mixing_stage(spark, secret, "")
+    assert secret.columns == mixed.columns == docs.columns
+    whole = {(i, t): words(t) for i, t, *_ in rows}
+    for row in mixed.collect():  # a run of the words of a row of that id
+        own = words(row["text"])
+        assert any(i == row["doc_id"] and " ".join(own) in " ".join(w) for (i, _), w in whole.items()) and own
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    assert out.groupby("sequence_id").length.sum().max() <= packing.CAPACITY and out.length.sum() > 150_000
+    one = corpus_pipeline.language_stage(spark, docs, "")
+    assert one.columns == docs.columns and one.filter("text is null").count() == 0
+
+
 def test_empty_documents(spark, tmp_path):
     frame(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

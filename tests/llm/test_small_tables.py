@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 import zlib
 from collections import Counter
 
@@ -192,6 +193,37 @@ def test_passage_in_most_documents(spark, monkeypatch):
     assert out == {i: 20 if i % 4 and i > 1 else 0 for i in range(120)}
 
 
+def test_phrase_in_every_document(spark, monkeypatch):
+    """Three words that all rows share make no large shard: their windows are dealt by hash, and every repeat is still found."""
+    monkeypatch.setattr(passages, "SHARD_WINDOWS", 40)
+    r = random.Random(2)
+    passage = [" ".join(f"p{k}w{j}" for j in range(30)) for k in range(3)]
+    rows = [(i, " ".join(" ".join([f"d{i}a{k}", "as it were"]) for k in range(30)) + (" " + r.choice(passage) if i % 3 else ""), "en", "s", 1) for i in range(60)]
+    docs = frame(spark, rows)
+    picked = docs.selectExpr("doc_id as id", "text")
+    often, parts = passages._splits(picked)
+    assert len(often) and parts.min() > 1
+    sizes = lambda splits: [sum(len(x["hashes"]) for x in rows) for rows in _by_shard(passages._proposals(picked, 4096, splits))]
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+    assert max(sizes((often, parts))) < max(sizes(none)) / 3
+    starts = {}
+    for i, t, *_ in rows:
+        w = words(t)
+        for k in range(len(w) - 12):
+            starts.setdefault(tuple(w[k : k + 13]), i)
+    for row in passages.remove_repeats(docs).collect():
+        w = words(rows[row["doc_id"]][1])
+        gone = {k + j for k in range(len(w) - 12) if starts[tuple(w[k : k + 13])] < row["doc_id"] for j in range(13)}
+        assert row["n_removed"] == len(gone)
+
+
+def _by_shard(proposed):
+    out = {}
+    for row in proposed.filter("hashes is not null").collect():
+        out.setdefault(row["shard"], []).append(row)
+    return out.values()
+
+
 def test_scores(docs, rows):
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, *_ in rows}
     counts = Counter(w for i, t, *_ in rows if not held[i] for w in [*words(t, True), ""])
