@@ -3,6 +3,12 @@
 Each stage is a function of (spark, docs, sf_dir); its result is written as Parquet and read again as the next one's
 ``docs``. All but the last return the columns of documents. What a stage decides takes effect: rejected documents and
 copies are gone, secrets are masked, the mix is what is packed.
+
+Defined cases, for every stage: a null or blank text has no language and goes in the first stage (the later ones keep it:
+it is no copy, holds no secret, and has no words to mix); rows with a null doc_id are documents of their own; rows that
+repeat a doc_id and its text are copies, rows that repeat a doc_id over other texts are not; ties go to the smallest
+doc_id; a text of any length is handled whole; columns beside those of documents, whatever their names, are kept up to
+the packing; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keystrata.llm import langid, mixing, neardup, packing, secrets
@@ -30,13 +36,16 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the smallest doc_id, of each group of near duplicates; of rows that repeat a doc_id, one."""
+    """Keeps one document, the smallest doc_id, of each group of near duplicates; of rows that repeat doc_id and text, one."""
     found = neardup.near_duplicates(docs)
-    kept = found.filter("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
-    out = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
-    repeats = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").limit(1).count()
+    kept = found.filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
+    out = docs.join(kept, docs["doc_id"] == kept["_kept_id"], "left_semi")
+    same = F.xxhash64(docs["doc_id"], docs["text"])
+    repeats = docs.filter("doc_id is not null").groupBy(same.alias("same")).agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
     if repeats:
-        out = out.dropDuplicates(["doc_id"])
+        first = Window.partitionBy("_same").orderBy("_row")
+        out = out.withColumns({"_same": same, "_row": F.xxhash64(*(docs[c] for c in docs.columns))})
+        out = out.withColumn("_place", F.row_number().over(first)).filter("_place = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
     return out.unionByName(docs.filter("doc_id is null"))
 
 
@@ -69,12 +78,24 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL: str | None = None
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder of any file system that Spark reaches."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; what lies between them is written to the shared checkpoint folder."""
+    """All stages over the documents of ``sf_dir``; what lies between them is written to the shared checkpoint folder.
+
+    A stage's result goes once the next one is written; that of the last but one, which the returned rows are read from, stays.
+    """
     shared_folder(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            _delete(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
