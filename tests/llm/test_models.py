@@ -79,7 +79,7 @@ def test_counts_of_bits():
     r = np.random.default_rng(6)
     text = np.frombuffer(bytes(r.choice(list(b"abc de"), 150).astype(np.uint8)), np.uint8)
     tree, bits = mixlm.Tree(follow(text)), [24] * mixlm.PREDICTORS
-    found = mixlm.count_bits(tree, bits, text, np.array([0, len(text)]))
+    found = mixlm.merged([mixlm.count_bits(tree, bits, text, np.array([0, len(text)]))])
     plain = Counter()
     for at, byte in enumerate(text.tolist()):
         before = int(text[at - 1]) if at else 0
@@ -201,7 +201,7 @@ def test_all_bits_refine_the_weights():
                 total -= np.log(p if bit else 1 - p)
                 change, bits = change + x * (bit - p), bits + 1
                 off[b] += bit - p
-                curves[b] += p * (1 - p)
+                curves[b] += mixlm._CURVE[b]
         own = own + mixlm.RATE * change / np.sqrt(bits + 16)
         surety += curves
         add += off / surety
