@@ -5,6 +5,7 @@ The order of these steps is the semantics. Filters on ``seq`` go below the resol
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,15 +39,22 @@ def resolve_with_overlay(log: DataFrame, overlay: DataFrame, read_seq: int, now_
     return live(newest(both, None, order=(F.col("_rank").desc(),)), now_ns).drop("_rank")
 
 
-def positions(df: DataFrame, key: str = "sort_key", descending: bool = False, prefix_bytes: int = 2, name: str = "pos") -> DataFrame:
-    """Adds each row's place (from 1) in key order without sorting all rows in one task.
+def ranges(df: DataFrame, key: str, descending: bool = False) -> DataFrame:
+    """The rows in ranges of about equal counts, whatever the keys have in common: ``_range``, in key order, and ``_place`` (from 0) in it.
 
-    Rows are ranked within the range of a key prefix; prefix sums over the ranges' counts shift them.
+    Bounds of ranges come from a sample of the keys, so they are drawn once: the result is kept (and spilled) until the
+    session drops it, and a lost part is made again from the same exchange.
     """
-    d = df.withColumn("_range", F.substring(F.col(key), 1, prefix_bytes))
-    way = F.desc if descending else F.asc
-    counts = d.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy(way("_range")).rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
-    d = d.withColumn("_within", F.row_number().over(Window.partitionBy("_range").orderBy(way(key))))
-    return d.join(counts, "_range").withColumn(name, (F.col("_within") + F.col("_before")).cast("long")).drop("_range", "_within", "_before")
+    order = F.desc(key) if descending else F.asc(key)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    d = df.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id())
+    d = d.withColumns({"_range": F.shiftright("_id", 33).cast("int"), "_place": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))})
+    return d.drop("_id").persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def positions(df: DataFrame, key: str = "sort_key", descending: bool = False, name: str = "pos") -> DataFrame:
+    """Adds each row's place (from 1) in key order: its place in a range, shifted by the counts of the ranges before."""
+    d = ranges(df, key, descending)
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    counts = d.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    return d.join(F.broadcast(counts), "_range").withColumn(name, F.col("_place") + F.col("_before") + 1).drop("_range", "_place", "_before")

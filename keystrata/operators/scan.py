@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keystrata.operators.keys import UNBOUNDED, Bound, has_prefix, is_descending, within
-from keystrata.operators.resolve import positions, resolve
+from keystrata.operators.resolve import positions, ranges, resolve
 
 
 def get(log: DataFrame, key: bytes, read_seq: int | None, now_ns: int) -> DataFrame:
@@ -54,19 +54,19 @@ def newest_of_each(view: DataFrame, group: Column | str, n: int, order: str = "s
     return view.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-def neighbours(view: DataFrame, column: str = "sort_key", prefix_bytes: int = 2) -> DataFrame:
+def neighbours(view: DataFrame, column: str = "sort_key") -> DataFrame:
     """Each row with the keys before and after it in order (``prev_key``, ``next_key``; null at the ends).
 
-    Ranges of a key prefix are sorted apart; only their first and last keys meet in one place.
+    Ranges of about equal counts are walked apart; only their first and last keys meet in one place.
     """
-    d = view.withColumn("_range", F.substring(F.col(column), 1, prefix_bytes))
-    w = Window.partitionBy("_range").orderBy(column)
+    d = ranges(view, column)
+    w = Window.partitionBy("_range").orderBy("_place")
     ends = d.groupBy("_range").agg(F.min(column).alias("_first"), F.max(column).alias("_last"))
     chain = Window.orderBy("_range")
     ends = ends.select("_range", F.lag("_last").over(chain).alias("_before"), F.lead("_first").over(chain).alias("_after"))
     d = d.withColumn("prev_key", F.lag(column).over(w)).withColumn("next_key", F.lead(column).over(w))
-    d = d.join(ends, "_range")
-    return d.withColumn("prev_key", F.coalesce("prev_key", "_before")).withColumn("next_key", F.coalesce("next_key", "_after")).drop("_range", "_before", "_after")
+    d = d.join(F.broadcast(ends), "_range")
+    return d.withColumn("prev_key", F.coalesce("prev_key", "_before")).withColumn("next_key", F.coalesce("next_key", "_after")).drop("_range", "_place", "_before", "_after")
 
 
 def contained(keys: DataFrame, view: DataFrame) -> DataFrame:

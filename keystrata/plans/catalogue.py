@@ -502,14 +502,14 @@ def comparator_case_insensitive(spark, sf_dir):
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS pos FROM orders")
 def comparator_uint64(spark, sf_dir):
     o = table(spark, sf_dir, "orders").withColumn("sort_key", sort_key(big_endian(F.col("o_orderkey")), "uint64"))
-    return positions(o, prefix_bytes=7).select("o_orderkey", "pos")
+    return positions(o).select("o_orderkey", "pos")
 
 
 @query("SELECT o_orderkey, (o_orderkey % 2 * 2 - 1) * o_orderkey AS n, row_number() OVER (ORDER BY (o_orderkey % 2 * 2 - 1) * o_orderkey) AS pos FROM orders")
 def comparator_int64(spark, sf_dir):
     n = (F.pmod("o_orderkey", F.lit(2)) * 2 - 1) * F.col("o_orderkey")
     o = table(spark, sf_dir, "orders").withColumn("n", n).withColumn("sort_key", sort_key(big_endian(F.col("n")), "int64"))
-    return positions(o, prefix_bytes=7).select("o_orderkey", "n", "pos")
+    return positions(o).select("o_orderkey", "n", "pos")
 
 
 # Set operations over families
@@ -558,6 +558,29 @@ def bulk_ingest_order_check(spark, sf_dir):
     return out_of_order(i, "key", ("l_linenumber", "key"), ("l_orderkey",)).select("l_orderkey", "l_linenumber")
 
 
+@query("""SELECT CASE WHEN n_regionkey % 2 = 0 THEN 'even' ELSE 'odd' END AS cf, n_name AS k,
+    row_number() OVER (ORDER BY n_nationkey) AS seq, CASE WHEN n_nationkey % 3 = 0 THEN 'again' ELSE CAST(n_regionkey AS VARCHAR) END AS v FROM nation""")
+def store_commit_order(spark, sf_dir):
+    """One transaction over two families, whose writes alternate and partly come twice, as the store's log has it."""
+    import tempfile
+
+    from keystrata.sources.store import Store
+
+    rows = table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()
+    family = lambda r: "odd" if r["n_regionkey"] % 2 else "even"
+    with tempfile.TemporaryDirectory() as root, Store(spark, root) as store:
+        store.create_column_family("even")
+        store.create_column_family("odd")
+        with store.begin() as t:
+            for r in rows:
+                t.put(family(r), r["n_name"].encode(), str(r["n_regionkey"]).encode())
+            for r in rows:
+                if r["n_nationkey"] % 3 == 0:
+                    t.put(family(r), r["n_name"].encode(), b"again")
+        logs = [store.log(cf).select(F.lit(cf).alias("cf"), _text(), "seq", F.decode("value", "utf-8").alias("v")).collect() for cf in ("even", "odd")]
+    return spark.createDataFrame([tuple(r) for log in logs for r in log], "cf string, k string, seq long, v string")
+
+
 @query(f"WITH {VL} SELECT k, seq, hex(encode(k)) || lpad(hex(18446744073709551615 - seq), 16, 'F') AS internal FROM vl")
 def internal_keys(spark, sf_dir):
     log = event_log(spark, sf_dir).withColumn("internal", formats.internal_key(F.col("key"), F.col("seq")))

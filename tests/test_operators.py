@@ -148,3 +148,19 @@ def test_sequences_over_ranges_of_batches(spark):
     d = transactions.dedup_batch(spark.createDataFrame(rows, "batch long, cf string, key binary, op_idx long"))
     got = transactions.assign_sequences(d, 11).orderBy("batch", "slot").collect()
     assert [r["seq"] for r in got] == list(range(11, 20)) and [r["commit_seq"] for r in got] == [13] * 3 + [16] * 3 + [19] * 3
+
+
+def test_order_of_keys_with_a_common_prefix(spark):
+    """Keys that start alike are dealt to several ranges, and their places are right."""
+    from keystrata.operators.resolve import positions, ranges
+    from keystrata.operators.scan import neighbours
+
+    keys = [b"user:%012d" % (i * 7919 % 5000) for i in range(5000)]
+    d = spark.createDataFrame([(k,) for k in keys], "sort_key binary").repartition(3)
+    assert ranges(d, "sort_key").select("_range").distinct().count() > 1
+    for descending in (False, True):
+        found = {bytes(r["sort_key"]): r["pos"] for r in positions(d, descending=descending).collect()}
+        assert found == {k: n + 1 for n, k in enumerate(sorted(keys, reverse=descending))}
+    order = sorted(keys)
+    near = {bytes(r["sort_key"]): (r["prev_key"], r["next_key"]) for r in neighbours(d).collect()}
+    assert all(near[k] == (order[n - 1] if n else None, order[n + 1] if n + 1 < len(order) else None) for n, k in enumerate(order))
