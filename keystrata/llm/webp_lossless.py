@@ -5,8 +5,9 @@ the predictor, cross-colour, subtract-green and palette transforms. Many images
 token of every unfinished image with array operations, so the cost for each pixel does not depend on one image's length.
 
 The writer stores bytes as 48 RGBA pixels a row (192 bytes), in tiles of at most ``TILE_ROWS`` rows, each tile a file of
-its own; the stored form is the tiles one after another. A tile's prefix code is the cheaper of two fixed profiles, and
-repeated pixels become back-references, so equal payloads give equal bytes.
+its own; the stored form is the tiles one after another. A tile takes the smallest of three forms: the fixed prefix codes
+for its bytes, those with a colour cache, or a palette with codes of its own. Repeated pixels become back-references. A
+tile's form depends on its bytes alone, so equal payloads give equal bytes.
 
 Defined cases: a null or empty text is stored as one row of spaces; very long texts give many tiles; rows that repeat a
 doc_id give a row each; an empty table gives no rows; other columns, whatever their names, are ignored; a damaged file
@@ -18,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import zlib
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -228,13 +230,8 @@ def _tokens(words: np.ndarray, jobs: list[_Job]) -> list[np.ndarray]:
                 cache[int(cache_at[k]) + i] = p
 
     def special(k: int, symbol: int, at: int, row: int) -> None:
-        """A back-reference or a cache hit of image k; ``at``: the bit after the symbol."""
+        """A back-reference of image k; ``at``: the bit after the symbol."""
         p = int(pos[k])
-        if symbol >= LITERALS + LENGTHS:
-            out[base[k] + p] = cache[cache_at[k] + symbol - LITERALS - LENGTHS]
-            remember(k, out[base[k] + p : base[k] + p + 1])
-            pos[k], bit[k] = p + 1, at
-            return
         length, n = _value(words, symbol - LITERALS, at)
         at += n
         entry = int(table[code_at[row, 4] + (int(words[at >> 3]) >> (at & 7) & int(code_mask[row, 4]))])
@@ -263,6 +260,8 @@ def _tokens(words: np.ndarray, jobs: list[_Job]) -> list[np.ndarray]:
         a0, a1, a2, a3 = code_at[row, :4].T.copy()
         m0, m1, m2, m3 = code_mask[row, :4].T.copy()
         b, to = bit[active], base[active] + pos[active]
+        keepers = np.flatnonzero(cache_bits[active])
+        slots_at, slot_shift = cache_at[active[keepers]], 32 - cache_bits[active[keepers]]
         turns, mixed = int((total[active] - pos[active]).min()), False
         done = 0
         while done < turns and not mixed:
@@ -292,13 +291,16 @@ def _tokens(words: np.ndarray, jobs: list[_Job]) -> list[np.ndarray]:
             used = used + (e3 & 15)
             s = e0 >> 4
             pixel = (e3 >> 4) << 24 | (e1 >> 4) << 16 | s << 8 | e2 >> 4
+            if cached and int(s.max()) >= LITERALS + LENGTHS:
+                hit = np.flatnonzero(s >= LITERALS + LENGTHS)
+                pixel[hit] = cache[cache_at[active[hit]] + s[hit] - LITERALS - LENGTHS]
+                used[hit] = e0[hit] & 15
+                s[hit] = 0
             if int(s.max()) < LITERALS:
                 out[to] = pixel
                 if cached:
-                    own = cache_bits[active]
-                    with_cache = own > 0
-                    p = pixel[with_cache]
-                    cache[cache_at[active][with_cache] + ((p * CACHE_MULTIPLIER & 0xFFFFFFFF) >> (32 - own[with_cache]))] = p
+                    p = pixel[keepers]
+                    cache[slots_at + ((p * CACHE_MULTIPLIER & 0xFFFFFFFF) >> slot_shift)] = p
                 b = b + used
                 to = to + 1
                 done += 1
@@ -309,8 +311,9 @@ def _tokens(words: np.ndarray, jobs: list[_Job]) -> list[np.ndarray]:
                 bit[active], pos[active] = np.where(plain, b + used, b), to - base[active] + plain
                 out[to[plain]] = pixel[plain]
                 if cached:
-                    for k, p in zip(active[plain].tolist(), pixel[plain]):
-                        remember(k, np.array([p]))
+                    own = plain[keepers]
+                    p = pixel[keepers[own]]
+                    cache[slots_at[own] + ((p * CACHE_MULTIPLIER & 0xFFFFFFFF) >> slot_shift[own])] = p
                 for i in np.flatnonzero(~plain).tolist():
                     special(int(active[i]), int(s[i]), int(b[i] + (e0[i] & 15)), int(row[i]))
                 mixed = True
@@ -606,19 +609,37 @@ def _weights(top: int) -> list[float]:
     return w
 
 
+#: Colour cache: its slots' bits, and the share of tokens that its symbols are meant to be.
+CACHE_BITS, CACHE_SHARE = 9, 0.3
+#: Tiles of at most this many colours are also tried as palette images.
+MOST_COLOURS = 16
+_ONE_BACK = [0, 1, *[0] * (DISTANCES - 2)]  # the only distance symbol (code 2: one back) takes no bits
+
+
 @lru_cache(maxsize=None)
-def _profile(top: int):
-    """A fixed code for bytes below ``top``: code and length of every byte, header bits, and the run symbols' code."""
+def _profile(top: int, cached: bool):
+    """A fixed code for bytes below ``top``, with a colour cache or without.
+
+    Code and length of every byte (green, others), those of the run symbols and of the cache's slots, and the header's bits.
+    """
     base = _weights(top)
-    green = code_lengths([*base, *[2e-3] * LENGTHS], 12)
+    slots = 1 << CACHE_BITS if cached else 0
+    cache = [sum(base) * CACHE_SHARE / (1 - CACHE_SHARE) / slots] * slots if cached else []
+    green = code_lengths([*base, *[2e-3] * LENGTHS, *cache], 14)
     other = code_lengths(base, 12)
     head = BitWriter()
-    head.write(0, 3)  # no transform, no cache, no meta codes
-    for lengths in (green, other, other, other, [0, 1, *[0] * (DISTANCES - 2)]):
+    head.write(0, 1)  # no transform
+    head.write(int(cached), 1)
+    if cached:
+        head.write(CACHE_BITS, 4)
+    head.write(0, 1)  # no meta codes
+    for lengths in (green, other, other, other, _ONE_BACK):
         head.prefix_code(lengths)
-    code = np.array([[*codes(green)[:256]], codes(other)], np.int64)
+    own = codes(green)
+    code = np.array([own[:256], codes(other)], np.int64)
     size = np.array([green[:256], other], np.int64)
-    return code, size, head.value, head.n, codes(green)[256:], green[256:]
+    runs, slot = slice(256, 256 + LENGTHS), slice(256 + LENGTHS, None)
+    return code, size, own[runs], green[runs], np.array(own[slot], np.int64), np.array(green[slot], np.int64), head.value, head.n
 
 
 def _run_token(length: int) -> tuple[int, int]:
@@ -630,48 +651,130 @@ def _run_token(length: int) -> tuple[int, int]:
     return 2 * n + (x >> (n - 1) & 1), n - 1
 
 
-@lru_cache(maxsize=4096)
-def _run_bits(top: int, length: int) -> tuple[int, int]:
+@lru_cache(maxsize=8192)
+def _run_bits(top: int, cached: bool, length: int) -> tuple[int, int]:
     """A back-reference of ``length`` pixels to the pixel before: its bits and their count."""
-    *_, code, size = _profile(top)
+    _, _, code, size, *_ = _profile(top, cached)
     symbol, n = _run_token(length)
     extra = (length - 1) & ((1 << n) - 1)
-    return code[symbol] | extra << size[symbol], size[symbol] + n  # the only distance symbol (code 2: one back) takes no bits
+    return code[symbol] | extra << size[symbol], size[symbol] + n
+
+
+def _cache_hits(argb: np.ndarray, tile: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cache slot of every pixel, and whether that slot holds the pixel when its turn comes.
+
+    Every pixel enters the cache, so a slot holds the last pixel of the tile that fell into it.
+    """
+    slot = (argb * np.uint32(CACHE_MULTIPLIER) >> np.uint32(32 - CACHE_BITS)).astype(np.int64)
+    key = tile << CACHE_BITS | slot
+    order = np.argsort(key, kind="stable")
+    key, value = key[order], argb[order]
+    hit = np.zeros(len(argb), bool)
+    hit[order[1:]] = (key[1:] == key[:-1]) & (value[1:] == value[:-1])
+    return slot, hit
+
+
+def _palette_file(argb: np.ndarray, colours: np.ndarray) -> tuple[int, int]:
+    """A tile of few colours as a palette image with codes of its own: the bits after the image's size, and their count."""
+    k = len(colours)
+    shift = 3 if k <= 2 else 2 if k <= 4 else 1
+    index = np.searchsorted(colours, argb).reshape(-1, 1 << shift)
+    packed = (index << (np.arange(1 << shift) * (8 >> shift))).sum(axis=1)
+    tokens, edges = [], np.concatenate([[0], np.flatnonzero(np.diff(packed)) + 1, [len(packed)]])
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        literal = int(packed[a])
+        tokens.append((literal, 0, 0))
+        rest = b - a - 1
+        while rest >= 3:
+            n = min(rest, 4096)
+            symbol, extra = _run_token(n)
+            tokens.append((256 + symbol, (n - 1) & ((1 << extra) - 1), extra))
+            rest -= n
+        tokens += [(literal, 0, 0)] * rest
+    out = BitWriter()
+    out.write(1 | PALETTE << 1 | (k - 1) << 3, 11)
+    out.write(0, 1)  # the palette's image has no cache
+    samples = np.diff(colours.view(np.uint8).reshape(-1, 4), axis=0, prepend=np.zeros((1, 4), np.uint8))[:, [1, 2, 0, 3]]
+    channels = []
+    for j in range(4):
+        count = np.bincount(samples[:, j], minlength=256 + LENGTHS * (j == 0)).tolist()
+        lengths = code_lengths(count, 15)
+        out.prefix_code(lengths)
+        channels.append((codes(lengths), lengths, sum(n > 0 for n in lengths) > 1))
+    out.prefix_code(_ONE_BACK)
+    for row in samples.tolist():
+        for x, (code, size, several) in zip(row, channels):
+            if several:
+                out.write(code[x], size[x])
+    out.write(0, 3)  # no further transform, no cache, no meta codes
+    count = [0] * (256 + LENGTHS)
+    for symbol, _, _ in tokens:
+        count[symbol] += 1
+    lengths = code_lengths(count, 15)
+    out.prefix_code(lengths)
+    for _ in range(3):
+        out.prefix_code([1, *[0] * 255])
+    out.prefix_code(_ONE_BACK)
+    code, several = codes(lengths), sum(n > 0 for n in lengths) > 1
+    for symbol, extra, n in tokens:
+        if several:
+            out.write(code[symbol], lengths[symbol])
+        out.write(extra, n)
+    return out.value, out.n
 
 
 def encode_rows(payload: np.ndarray, tile_rows: np.ndarray) -> list[bytes]:
-    """Files of consecutive tiles; tile i has the next tile_rows[i] rows of 192 bytes (red, green, blue, alpha by turns)."""
+    """Files of consecutive tiles; tile i has the next tile_rows[i] rows of 192 bytes (red, green, blue, alpha by turns).
+
+    Each tile takes the smallest of its forms: the fixed code of its bytes, that code with a colour cache, a palette.
+    """
     pixels = payload.reshape(-1, 4)
     count = tile_rows * PIXELS
     first = np.cumsum(count) - count
     tile = np.repeat(np.arange(len(count)), count)
     wide = np.maximum.reduceat(pixels.max(axis=1), first) >= 128
-    code, size = (np.stack([_profile(128)[k], _profile(256)[k]]) for k in (0, 1))
     of = wide.astype(np.int64)[tile]
-    c, n = code[of, 0, pixels[:, 1]], size[of, 0, pixels[:, 1]]
-    for channel in (0, 2, 3):
-        c |= code[of, 1, pixels[:, channel]] << n
-        n += size[of, 1, pixels[:, channel]]
+    argb = np.ascontiguousarray(pixels[:, [2, 1, 0, 3]]).view("<u4").ravel()
+    slot, hit = _cache_hits(argb, tile)
     # Pixels equal to the one before, in runs of at least 3, become back-references.
-    value = payload.view("<u4")
-    same = np.zeros(len(value), bool)
-    same[1:] = value[1:] == value[:-1]
+    same = np.zeros(len(argb), bool)
+    same[1:] = argb[1:] == argb[:-1]
     same[first] = False
     edge = np.diff(np.concatenate([[0], same.astype(np.int8), [0]]))
     begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     long = end - begin >= 3
-    for a, b in zip(begin[long].tolist(), end[long].tolist()):
-        n[a:b] = c[a:b] = 0
-        top = 256 if wide[tile[a]] else 128
-        for k in range(a, b, 4096):
-            c[k], n[k] = _run_bits(top, min(4096, b - k))
+    runs = list(zip(begin[long].tolist(), end[long].tolist()))
+    forms = []
+    for cached in (False, True):
+        both = [_profile(top, cached) for top in (128, 256)]
+        code, size = (np.stack([x[k] for x in both]) for k in (0, 1))
+        c, n = code[of, 0, pixels[:, 1]], size[of, 0, pixels[:, 1]]
+        for channel in (0, 2, 3):
+            c |= code[of, 1, pixels[:, channel]] << n
+            n += size[of, 1, pixels[:, channel]]
+        if cached:
+            c[hit] = np.stack([x[4] for x in both])[of[hit], slot[hit]]
+            n[hit] = np.stack([x[5] for x in both])[of[hit], slot[hit]]
+        for a, b in runs:
+            n[a:b] = c[a:b] = 0
+            top = 256 if of[a] else 128
+            for k in range(a, b, 4096):
+                c[k], n[k] = _run_bits(top, cached, min(4096, b - k))
+        heads = [x[6] for x in both]
+        head_bits = np.array([x[7] for x in both])[wide.astype(int)] + 40
+        forms.append((c, n, heads, head_bits, head_bits + np.add.reduceat(n, first)))
+    with_cache = forms[1][4] < forms[0][4]
+    c, n = (np.where(with_cache[tile], forms[1][k], forms[0][k]) for k in (0, 1))
+    head_bits, tile_bits = (np.where(with_cache, forms[1][k], forms[0][k]) for k in (3, 4))
+    palettes = {}
+    for k in np.flatnonzero(np.add.reduceat((~hit).astype(np.int64), first) <= 2 * MOST_COLOURS).tolist():
+        own = argb[first[k] : first[k] + count[k]]
+        colours = np.unique(own)
+        if len(colours) <= MOST_COLOURS:
+            bits, size = _palette_file(own, colours)
+            if size + 40 < tile_bits[k]:
+                palettes[k] = bits, size + 40
     # Bits of a tile: the header, its pixels, zeros up to whole 8 bytes.
-    heads = []
-    for top in (128, 256):
-        *_, value_, bits_, _, _ = _profile(top)
-        heads.append((value_, bits_))
-    head_bits = np.array([x[1] for x in heads])[wide.astype(int)] + 40
-    tile_bits = head_bits + np.add.reduceat(n, first)
     words = -(-tile_bits // 64) + 1
     word_at = np.cumsum(words) - words
     at = np.cumsum(n) - n
@@ -688,16 +791,26 @@ def encode_rows(payload: np.ndarray, tile_rows: np.ndarray) -> list[bytes]:
     out[word[over[some]] + 1] |= spill[some]
     data = memoryview(out.tobytes())
     files = []
-    for k, (rows, w, bits, a) in enumerate(zip(tile_rows.tolist(), wide.tolist(), tile_bits.tolist(), word_at.tolist())):
-        value_, bits_ = heads[w]
-        begin = 0x2F | (PIXELS - 1) << 8 | (rows - 1) << 22 | 1 << 36 | value_ << 40
-        whole = (bits_ + 40) // 8 + 1
-        body = bytearray(data[8 * a : 8 * a + -(-bits // 8)])
-        body[:whole] = (begin | int.from_bytes(body[:whole], "little")).to_bytes(whole, "little")
+    for k, (rows, w, cached, bits, head, a) in enumerate(zip(tile_rows.tolist(), wide.tolist(), with_cache.tolist(), tile_bits.tolist(), head_bits.tolist(), word_at.tolist())):
+        begin = 0x2F | (PIXELS - 1) << 8 | (rows - 1) << 22 | 1 << 36
+        if k in palettes:
+            rest, bits = palettes[k]
+            body = bytearray((begin | rest << 40).to_bytes(-(-bits // 8), "little"))
+        else:
+            begin |= forms[cached][2][w] << 40
+            whole = head // 8 + 1
+            body = bytearray(data[8 * a : 8 * a + -(-bits // 8)])
+            body[:whole] = (begin | int.from_bytes(body[:whole], "little")).to_bytes(whole, "little")
         files.append(container(bytes(body)))
     return files
 
 
+def form(file: bytes) -> str:
+    """The first transform of a file, else ``cache`` or ``plain``."""
+    bits = _open(file)[5]
+    return ("predictor", "cross_colour", "subtract_green", "palette")[bits >> 1 & 3] if bits & 1 else "cache" if bits & 2 else "plain"
+
+
 def padded(data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Every text followed by bytes 32 up to a positive multiple of 192, and each one's rows."""
     n = np.diff(offsets)
@@ -743,8 +856,11 @@ def feature(pixels: np.ndarray) -> str:
 
 
 def store_and_read(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", with_media: bool = False) -> DataFrame:
-    """Stores every text as lossless WebP, reads the stored bytes back and describes both; ``with_media`` adds the bytes. Map only."""
-    names = [id_column, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *["media"] * with_media]
+    """Stores every text as lossless WebP, reads the stored bytes back and describes both; ``with_media`` adds the bytes. Map only.
+
+    ``forms`` counts the files of each form, such as ``cache:3,plain:1``.
+    """
+    names = [id_column, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "forms", *["media"] * with_media]
 
     def work(batches):
         for batch in slices(batches, limit=LARGE_SLICE):
@@ -758,11 +874,11 @@ def store_and_read(docs: DataFrame, id_column: str = "doc_id", text_column: str
                 parts = [next(images) for _ in x]
                 pixels = parts[0] if len(parts) == 1 else np.concatenate(parts)
                 payload = pixels.tobytes()
-                rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature(pixels)))
+                rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature(pixels), ",".join(f"{k}:{v}" for k, v in sorted(Counter(map(form, x)).items()))))
             cols = list(zip(*rows))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds)), *([pa.array(media, pa.binary())] if with_media else [])], names)
 
     kind = docs.schema[id_column].dataType.simpleString()
-    schema = f"`{id_column}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = f"`{id_column}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, forms string"
     return docs.select(docs[id_column], docs[text_column].alias("text")).mapInArrow(work, schema + (", media binary" if with_media else ""))

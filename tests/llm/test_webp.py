@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from keystrata.llm import webp_lossless as W
@@ -254,8 +255,6 @@ def test_near_codes():
 
 
 def test_payloads_round_trip():
-    import pyarrow as pa
-
     r = random.Random(1)
     texts = [None, "", "a" * 191, "b" * 192, "c" * 193, "é" * 9000, "".join(chr(r.randrange(1, 0x3000)) for _ in range(5000)), " " * 30000, "long " * 40000]
     for text, media in zip(texts, W.encode(pa.array(texts))):
@@ -269,3 +268,39 @@ def test_damaged_files_raise():
     for bad in (b"", good[:10], b"RIFX" + good[4:], good[: len(good) // 2], good[:20] + b"\0" + good[21:]):
         with pytest.raises(ValueError):
             W.decode(bad)
+
+
+def test_writer_forms():
+    """Tiles with few colours become palettes, those with repeated pixels use the cache; every form reads back."""
+    rng = np.random.default_rng(5)
+    words = [bytes(rng.integers(97, 123, 4, dtype=np.uint8)) for _ in range(60)]
+    prose = b"".join(words[i] for i in rng.integers(0, 60, 6000))
+    noise = bytes(rng.integers(32, 127, 9000, dtype=np.uint8))
+    few = b"".join(b"abcd" if i else b"wxyz" for i in rng.integers(0, 2, 900))
+    wide = "".join(chr(0x430 + i) for i in rng.integers(0, 32, 4000)).encode()
+    texts = [prose, noise, few, wide, few + noise + prose, b"", b"abcd" * 5000, b"abcd" * 47 + b"wxyz"]
+    texts = pa.array([t.decode() for t in texts] + [None])
+    media = W.encode(texts)
+    forms = [{W.form(f) for f in W.split_files(m)} for m in media]
+    assert forms[0] == {"cache"} and forms[1] == {"plain"} and forms[2] == {"palette"}
+    for text, stored in zip(texts.to_pylist(), media):
+        data = (text or "").encode()
+        data += b" " * (-len(data) % 192 or 192 * (not data))
+        assert b"".join(W.decode(f).tobytes() for f in W.split_files(stored)) == data
+        together = np.concatenate(W.decode_many(W.split_files(stored)))
+        assert together.tobytes() == data
+
+
+def test_palettes_of_every_size():
+    """1 to 17 colours, alone and with runs, over every packing of the indexes."""
+    for k in range(1, 18):
+        colours = [bytes([65 + i, 97 + i, 48 + i % 10, 32]) for i in range(k)]
+        rng = np.random.default_rng(k)
+        picks = np.repeat(rng.integers(0, k, 400), rng.integers(1, 30, 400))[: 48 * 70]
+        picks[:k] = np.arange(k)
+        data = b"".join(colours[i] for i in picks)
+        stored = W.encode(pa.array([data.decode()]))[0]
+        files = W.split_files(stored)
+        assert b"".join(W.decode(f).tobytes() for f in files)[: len(data)] == data
+        if k <= 4:
+            assert W.form(files[0]) == "palette"
