@@ -76,7 +76,7 @@ class Ingestion:
 
     def _roll(self) -> None:
         if self.rows:
-            self.files.append(self.store._write(self.name, self.store.spark.createDataFrame(self.rows, LOG_SCHEMA).coalesce(1), 0))
+            self.files += self.store._write(self.name, self.store.spark.createDataFrame(self.rows, LOG_SCHEMA).coalesce(1), 0)
             self.count += len(self.rows)
             self.rows, self.size = [], 0
 
@@ -88,7 +88,7 @@ class Ingestion:
         if self.files and self.store.visible + 1 != self.seq:  # commits came between: its rows are newer than theirs
             rows = [self.store.spark.read.schema(LOG_SCHEMA).parquet(m.path) for m in self.files]
             self.seq = self.store.visible + 1
-            again = [self.store._write(self.name, d.withColumn("seq", F.lit(self.seq).cast("long")), 0) for d in rows]
+            again = [m for d in rows for m in self.store._write(self.name, d.withColumn("seq", F.lit(self.seq).cast("long")), 0)]
             self.store._discard(self.files)
             self.files = again
         self.done = True

@@ -2,6 +2,7 @@
 
 import os
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -607,3 +608,53 @@ def test_anomalies(store):
         t2.commit()
     with pytest.raises(InvalidArgsError):
         t2.get("a", b"k1")
+
+
+def test_compaction_rolls_files(spark, tmp_path):
+    config = ColumnFamilyConfig(write_buffer_size=20_000, partition_rules=(PartitionRule(b"k00003", "third"),))
+    with Store(spark, str(tmp_path / "db")) as s:
+        s.create_column_family("c", config)
+        rows = spark.range(20_000).selectExpr("encode(concat('k', lpad(id, 9, '0')), 'UTF-8') AS key", "encode(string(id), 'UTF-8') AS value")
+        assert s.ingest("c", rows) == 20_000
+        s.compact("c")
+        files = s.family("c").files
+        total = sum(m.klog_size + m.vlog_size for m in files)
+        assert len(files) >= total // 20_000 and sum(m.num_entries for m in files) == 20_000
+        assert max(m.klog_size + m.vlog_size for m in files) < 3 * 20_000
+        ordered = sorted(files, key=lambda m: m.min_key)
+        assert all(a.max_key < b.min_key for a, b in zip(ordered, ordered[1:]))
+        for m in files:
+            assert (m.partition == "third") == m.min_key.startswith(b"k00003") == m.max_key.startswith(b"k00003")
+        assert s.scan("c").count() == 20_000 and s.get("c", b"k000012345") == b"12345"
+        assert len(s.log("c", included(b"k000012345"), included(b"k000012345")).inputFiles()) == 1
+        assert not [n for n in os.listdir(tmp_path / "db" / "data") if n.endswith(".staging")]
+
+
+def test_codecs_by_prefix(spark, tmp_path):
+    """Files begin anew where the codec changes; the longest prefix wins; a rule of bytes 255 has no end."""
+    rules = ((b"b", "none"), (b"bb", "snappy"), (b"\xff", "snappy"))
+    keys = [b"a", b"az", b"b", b"ba", b"bb", b"bbz", b"bc", b"c", b"\xfe", b"\xff", b"\xff\xff"]
+    wanted = {b"a": "ZSTD", b"b": "UNCOMPRESSED", b"bb": "SNAPPY", b"bc": "UNCOMPRESSED", b"c": "ZSTD", b"\xff": "SNAPPY"}
+    with Store(spark, str(tmp_path / "db")) as s:
+        s.create_column_family("c", ColumnFamilyConfig(prefix_compression=rules))
+        for compacted in (False, True):
+            with s.begin() as t:
+                for k in keys:
+                    t.put("c", k, b"v" * 100)
+            s.flush("c")
+            if compacted:
+                s.compact("c")
+            got = {}
+            for m in s.family("c").files:
+                (name,) = [n for n in os.listdir(m.path) if n.endswith(".parquet")]
+                got[m.min_key] = pq.ParquetFile(os.path.join(m.path, name)).metadata.row_group(0).column(0).compression
+            assert got == wanted
+            assert [k for k, _ in s.items("c")] == keys
+
+
+def test_unfinished_writes_go_on_open(spark, tmp_path):
+    root = str(tmp_path / "db")
+    Store(spark, root).close()
+    os.makedirs(os.path.join(root, "data", "77.staging", "cut_part=none"))
+    with Store(spark, root):
+        assert "77.staging" not in os.listdir(os.path.join(root, "data"))
