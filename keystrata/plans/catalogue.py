@@ -15,6 +15,7 @@ from keystrata.model import PartitionRule, TierRule
 from keystrata.operators import compaction, partitions, scan, statistics, transactions
 from keystrata.operators.keys import excluded, included, sort_key
 from keystrata.operators.resolve import newest, positions, resolve, resolve_with_overlay
+from keystrata.plans import storing
 from keystrata.sources.tables import DAY_NS, big_endian, event_files, event_log, item_log, micros, order_files, table, text_key
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -585,3 +586,9 @@ def store_commit_order(spark, sf_dir):
 def internal_keys(spark, sf_dir):
     log = event_log(spark, sf_dir).withColumn("internal", formats.internal_key(F.col("key"), F.col("seq")))
     return log.select(_text(), formats.internal_seq(F.col("internal")).alias("seq"), F.hex("internal").alias("internal"))
+
+
+# Queries that drive a store
+
+QUERIES |= storing.QUERIES
+ORACLE_SQL |= storing.ORACLE_SQL
