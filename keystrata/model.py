@@ -87,6 +87,8 @@ class SyncMode(enum.Enum):
 
 
 COMPARATORS = ("", "memcmp", "lexicographic", "reverse", "uint64", "int64", "case_insensitive")
+#: Comparators of callers by name, see ``keys.register_comparator``: the order as a binary Column of the key, and as bytes of one key.
+CUSTOM_COMPARATORS: dict = {}
 CODECS = {"none": "none", "snappy": "snappy", "lz4": "lz4", "lz4fast": "lz4", "zstd": "zstd", "flate": "gzip"}
 
 
@@ -125,7 +127,7 @@ class ColumnFamilyConfig:
     bloom_filter: bool = False
 
     def validate(self) -> "ColumnFamilyConfig":
-        if self.comparator not in COMPARATORS:
+        if self.comparator not in COMPARATORS and self.comparator not in CUSTOM_COMPARATORS:
             raise InvalidArgsError(f"unknown comparator {self.comparator!r}")
         for rules in (self.partition_rules, self.tier_rules):
             prefixes = [r.prefix for r in rules]

@@ -3,12 +3,28 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from keystrata.model import InvalidArgsError
+from keystrata.model import COMPARATORS, CUSTOM_COMPARATORS, NAME, InvalidArgsError
+
+
+def register_comparator(name: str, encode: Callable[[Column], Column], host: Callable[[bytes], bytes]) -> None:
+    """A comparator of the caller's: keys compare as the bytes that ``encode`` (a column) and ``host`` (one key) make of them.
+
+    Keys of equal bytes are one key. Only the name is kept in the manifest: register it before the store is opened.
+    """
+    if name in COMPARATORS or not NAME.match(name):
+        raise InvalidArgsError(f"bad comparator name {name!r}")
+    CUSTOM_COMPARATORS[name] = encode, host
+
+
+def merges_keys(comparator: str) -> bool:
+    """Whether keys of unlike bytes may be one key."""
+    return comparator == "case_insensitive" or comparator in CUSTOM_COMPARATORS
 
 
 def is_descending(comparator: str) -> bool:
@@ -28,6 +44,8 @@ def sort_key(key: Column, comparator: str = "memcmp") -> Column:
         head = F.conv(F.hex(F.substring(key, 1, 1)), 16, 10).cast("int").bitwiseXOR(F.lit(128))
         flipped = F.concat(F.unhex(F.lpad(F.hex(head), 2, "0")), F.substring(key, 2, 7))
         return F.when(F.length(key) == 8, flipped).otherwise(F.raise_error(F.lit("int64 keys have 8 bytes")).cast("binary"))
+    if comparator in CUSTOM_COMPARATORS:
+        return CUSTOM_COMPARATORS[comparator][0](key)
     raise InvalidArgsError(f"unknown comparator {comparator!r}")
 
 
@@ -43,6 +61,8 @@ def host_sort_key(key: bytes, comparator: str = "memcmp") -> bytes:
         if len(key) != 8:
             raise InvalidArgsError("int64 keys have 8 bytes")
         return bytes([key[0] ^ 128]) + key[1:]
+    if comparator in CUSTOM_COMPARATORS:
+        return CUSTOM_COMPARATORS[comparator][1](key)
     return key
 
 
