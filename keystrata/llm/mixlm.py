@@ -10,9 +10,10 @@ a document, by the coding cost of all bits of that block. The cost of all bits i
 Counts are of all training documents, whole: pairs of bytes, a count table for each predictor, and the counts of all
 words. Tables grow with the training text (``slot_bits``), up to 2 ** ``MOST_SLOTS`` slots of two bytes, which bounds what is
 broadcast; contexts beyond share slots, and the weights, fitted on the tables as they are, trust them as far as that goes.
-What a document begins with (weights and corrections) is fitted on a bounded sample: at most ``TUNING_DOCS`` training
-documents, and a tenth of them, the first by a hash of the id among those of at most ``TUNING_CHARS`` characters; while
-fitting, and then only, their own bits are taken out of the counts, lest the weights trust counts of the same texts.
+What a document begins with (weights and corrections) is fitted on all bits of all training documents, whole. They fall in
+two halves by a hash; while fitting, a document meets the counts of the other half, lest the weights trust counts of the
+same texts. One pass over each half counts, by gate, how often ones and zeros come with the predictors' log odds, in
+``LEVELS`` steps each; the fit is on these counts, so its size is bounded and no document is left out.
 Tables are summed in parts by slot range, in steps of bounded size; their values and the words with the largest counts,
 up to ``FREQUENT``, are broadcast. Other words' occurrences are joined with their counts, so no word is left out. A
 document's result depends on its text and the training set only, not on how rows are dealt.
@@ -54,8 +55,10 @@ DEEPEST = 14
 START = (0.25, 0.25, 0.25, 0.25)
 RATE = 0.02
 PULL = 20.0
-#: Training documents that the starting weights are fitted on, at most, and how long one of them may be.
-TUNING_DOCS, TUNING_CHARS = 300, 1 << 14
+#: Where the steps of a predictor's log odds begin, above 0, that the starting weights are fitted on; and what each stands for.
+EDGES = (0.4, 1.2, 2.3, 3.7, 4.8, 6.5)
+STANDS = (0.0, 0.8, 1.7, 3.0, 4.2, 5.6, 7.8)
+LEVELS = 2 * len(EDGES) + 1
 #: No bit's chance counts as less than one minus this.
 MOST = np.float32(1 - 1e-6)
 #: Classes of how often a slot was seen; the last two predictors' classes together choose a set of weights.
@@ -63,6 +66,8 @@ CLASSES = 8
 GATES = CLASSES * CLASSES
 #: The last stage maps the mixer's log odds, in so many buckets up to ``REACH`` to either side, to corrected ones.
 BUCKETS, REACH = 32, 12.0
+#: Counts that the fit starts from: a gate, a level for each predictor, and a bit.
+CELLS = GATES * LEVELS**PREDICTORS * 2
 MAP_PULL = 40.0
 FIRST_BLOCK, LAST_BLOCK = 256, 8192
 SMOOTHING = 0.02
@@ -307,32 +312,70 @@ def bucket_of(odds: np.ndarray) -> np.ndarray:
     return np.clip(x, 0, BUCKETS - 1, out=x).astype(np.intp)
 
 
-def fit(model: Model, text: np.ndarray, ends: np.ndarray, rounds: int = 6) -> None:
+def _levels() -> np.ndarray:
+    """The level of each slot value, at value + 2 ** 15."""
+    odds = np.arange(-(1 << 15), 1 << 15) / UNIT
+    return (np.sign(odds) * np.searchsorted(EDGES, np.abs(odds), side="right") + len(EDGES)).astype(np.intp)
+
+
+_LEVEL = _levels()
+_STANDS = np.array([-x for x in STANDS[:0:-1]] + list(STANDS))
+#: Positions that are looked at together, as a power of two.
+TOGETHER = 20
+
+
+def add_cells(model: Model, text: np.ndarray, ends: np.ndarray, cells: np.ndarray) -> None:
+    """Adds all bits of the texts to the counts that the fit starts from."""
+    every, hashed = pairs_of(text, ends), contexts(text, ends)
+    low = (1 << TOGETHER) - 1
+    for a in range(0, len(text), 1 << TOGETHER):
+        pairs, h = every[a : a + low + 1], [x[a : a + low + 1] for x in hashed]
+        # All contexts and the next byte mostly come again, so the tree is walked once for each; the sort brings equal ones together.
+        key = h[-2] * _NODE
+        key += h[-1] * 0x632BE59BD9B4E019
+        key += pairs * 0x58476D1CE4E5B9
+        key &= ~low
+        key |= np.arange(len(key))
+        key.sort()
+        key &= low
+        new = np.zeros(len(key), bool)
+        new[0] = True
+        for x in (pairs, *h):
+            x = np.take(x, key, mode="clip")
+            new[1:] |= x[1:] != x[:-1]
+        new = np.flatnonzero(new)
+        times, key = np.diff(np.append(new, len(key))), key[new]
+        for at, bit, x, cell in model.walk(text, np.take(pairs, key), [np.take(v, key) for v in h]):
+            for v in x:
+                cell *= LEVELS
+                cell += np.take(_LEVEL, v.astype(np.intp) + (1 << 15), mode="clip")
+            cell *= 2
+            cell += bit.astype(np.intp)
+            np.add.at(cells, cell, times if at is None else np.take(times, at, mode="clip"))
+
+
+def fit(model: Model, cells: np.ndarray, rounds: int = 6) -> None:
     """Sets what documents begin with: for each gate a logistic regression of the bit, by Newton's steps with a pull to START; then the correction of each bucket."""
-    pairs, hashed = pairs_of(text, ends), contexts(text, ends)
-    kept = [(bit, np.stack(x).astype(np.int16), gate.astype(np.uint8)) for _, bit, x, gate in model.walk(text, pairs, hashed)]
-    del hashed
+    counts = cells.reshape(-1, 2)
+    at = np.flatnonzero(counts.any(axis=1))
+    ones, many = counts[at, 1].astype(float), counts[at].sum(axis=1).astype(float)
+    x = np.zeros((PREDICTORS, len(at)))
+    for k in reversed(range(PREDICTORS)):
+        at, level = np.divmod(at, LEVELS)
+        x[k] = _STANDS[level]
     for turn in range(rounds + 1):
-        slope, bend = np.zeros((GATES, PREDICTORS)), np.zeros((GATES, PREDICTORS, PREDICTORS))
-        off, curves = np.zeros(BUCKETS), np.zeros(BUCKETS)
-        for bit, whole, gates in kept:
-            for a in range(0, len(bit), 1 << 17):
-                x, gate = whole[:, a : a + (1 << 17)] / UNIT, gates[a : a + (1 << 17)]
-                odds = (x * model.weights[gate].T).sum(axis=0)
-                p = 1 / (1 + np.exp(-np.clip(odds, -20, 20)))
-                error, curve = bit[a : a + (1 << 17)] - p, p * (1 - p)
-                if turn == rounds:
-                    b = bucket_of(odds.astype(np.float32))
-                    off += np.bincount(b, error, BUCKETS)
-                    curves += np.bincount(b, curve, BUCKETS)
-                    continue
-                for k in range(PREDICTORS):
-                    slope[:, k] += np.bincount(gate, error * x[k], GATES)
-                    for m in range(k + 1):
-                        bend[:, k, m] += np.bincount(gate, curve * x[k] * x[m], GATES)
+        odds = sum(x[k] * model.weights[at, k] for k in range(PREDICTORS))
+        p = 1 / (1 + np.exp(-np.clip(odds, -20, 20)))
+        error, curve = ones - many * p, many * p * (1 - p)
         if turn == rounds:
-            model.correction = off / (curves + MAP_PULL)
+            b = bucket_of(odds.astype(np.float32))
+            model.correction = np.bincount(b, error, BUCKETS) / (np.bincount(b, curve, BUCKETS) + MAP_PULL)
             return
+        slope, bend = np.zeros((GATES, PREDICTORS)), np.zeros((GATES, PREDICTORS, PREDICTORS))
+        for k in range(PREDICTORS):
+            slope[:, k] = np.bincount(at, error * x[k], GATES)
+            for m in range(k + 1):
+                bend[:, k, m] = np.bincount(at, curve * x[k] * x[m], GATES)
         bend += np.tril(bend, -1).transpose(0, 2, 1) + PULL * np.eye(PREDICTORS)
         slope -= PULL * (model.weights - np.array(START))
         model.weights = model.weights + np.clip(np.linalg.solve(bend, slope[..., None])[..., 0], -1, 1)
@@ -493,19 +536,28 @@ def _added(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()))], ["predictor", "part", "tuning", "salt", "counts"])
 
 
+_HALVES = ("values", "rest", "own")
+
+
 def _values(table: pa.Table) -> pa.Table:
-    """The values of one part of a predictor's slots from all of its counts, and those that differ without the tuning documents'."""
+    """The values of one part of a predictor's slots from all of its counts; from those of texts not marked ``tuning``; and from those of marked ones."""
     tuning = table.column("tuning")
-    apart = _total(table.filter(tuning).column("counts"))
-    total = apart + _total(table.filter(pc.invert(tuning)).column("counts"))
-    values = slot_values(total)
-    touched = np.flatnonzero(apart.reshape(-1, 2).any(axis=1))
-    less = slot_values((total - apart).reshape(-1, 2)[touched].ravel())
-    return pa.table({"predictor": table.column("predictor")[:1], "part": table.column("part")[:1], "values": pa.array([values.tobytes()], pa.binary()), "touched": pa.array([touched.astype("<u4").tobytes()], pa.binary()), "less": pa.array([less.tobytes()], pa.binary())})
+    own, rest = _total(table.filter(tuning).column("counts")), _total(table.filter(pc.invert(tuning)).column("counts"))
+    made = {name: pa.array([slot_values(x).tobytes()], pa.binary()) for name, x in zip(_HALVES, (own + rest, rest, own))}
+    return pa.table({"predictor": table.column("predictor")[:1], "part": table.column("part")[:1], **made})
 
 
-def bit_values(training: DataFrame, tree: Tree, bits: list[int]) -> tuple[list[np.ndarray], list[tuple[np.ndarray, np.ndarray]]]:
-    """Each predictor's slot values from all texts; and by predictor the slots that texts marked ``tuning`` touch, with their values without those."""
+def _summed(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Portions from all texts, those of a part added up in steps of bounded size."""
+    salts = estimated_parts(texts, "text", 1, 8 << 20) // ADDED
+    while salts:
+        rows = rows.withColumn("salt", F.pmod("salt", F.lit(salts))).groupBy("predictor", "part", "salt").applyInArrow(_added, _PORTION)
+        salts //= ADDED
+    return rows
+
+
+def bit_parts(training: DataFrame, tree: Tree, bits: list[int]) -> DataFrame:
+    """The slot values of all texts and of both halves (``_HALVES``), by predictor and part."""
 
     def work(batches):
         salt = TaskContext.get().partitionId()
@@ -522,36 +574,53 @@ def bit_values(training: DataFrame, tree: Tree, bits: list[int]) -> tuple[list[n
         for tuning in held:
             yield from _portions(merged(held[tuning]), tuning, salt)
 
-    rows = training.mapInArrow(work, _PORTION)
-    salts = estimated_parts(training, "text", 1, 8 << 20) // ADDED
-    while salts:
-        rows = rows.withColumn("salt", F.pmod("salt", F.lit(salts))).groupBy("predictor", "part", "salt").applyInArrow(_added, _PORTION)
-        salts //= ADDED
-    parts = rows.groupBy("predictor", "part").applyInArrow(_values, "predictor int, part int, values binary, touched binary, less binary")
+    rows = _summed(training.mapInArrow(work, _PORTION), training)
+    return cut(rows.groupBy("predictor", "part").applyInArrow(_values, "predictor int, part int, " + ", ".join(f"{x} binary" for x in _HALVES)))
+
+
+def bit_tables(parts: DataFrame, bits: list[int], column: str) -> list[np.ndarray]:
+    """Each predictor's slot values, of all texts or of a half."""
     out = [np.zeros(1 << b, np.int16) for b in bits]
-    touched: list[list] = [[] for _ in bits]
-    for row in cut(parts).toLocalIterator():  # a part after another comes to the driver, all are made at once
+    for row in parts.select("predictor", "part", column).toLocalIterator():  # a part after another comes to the driver
         at = row["part"] << PART
-        out[row["predictor"]][at : at + (1 << PART)] = np.frombuffer(row["values"], np.int16)
-        touched[row["predictor"]].append((np.frombuffer(row["touched"], "<u4").astype(np.int64) + at, np.frombuffer(row["less"], np.int16)))
-    return out, [tuple(np.concatenate(x) for x in zip(*t)) if t else (np.zeros(0, np.int64), np.zeros(0, np.int16)) for t in touched]
-
-
-def trained(training: DataFrame, follow: np.ndarray, docs: int) -> Model:
-    """The model of texts (id, text), of which the byte pairs and the documents are counted already."""
-    tree = Tree(follow.reshape(256, 256))
-    tuning = min(TUNING_DOCS, docs // 10)
-    short = F.col("id").isNotNull() & (F.coalesce(F.length("text"), F.lit(0)) <= TUNING_CHARS)
-    sample = training.filter(short).orderBy(F.xxhash64(F.lit(9), "id"), "id", F.xxhash64("text")).limit(tuning).collect() if tuning else []
-    inside = F.coalesce(short & F.col("id").isin([r["id"] for r in sample]), F.lit(False)) if sample else F.lit(False)
-    values, touched = bit_values(training.select("text", inside.alias("tuning")), tree, slot_bits(int(follow.sum())))
-    model = Model.start(tree, values)
-    kept = [table[at].copy() for table, (at, _) in zip(values, touched)]
-    for table, (at, less) in zip(values, touched):
-        table[at] = less
-    fit(model, *stream(pa.array([r["text"] or "" for r in sample], pa.string())))
-    for table, (at, _), whole in zip(values, touched, kept):
-        table[at] = whole
+        out[row["predictor"]][at : at + (1 << PART)] = np.frombuffer(row[column], np.int16)
+    return out
+
+
+def bit_values(training: DataFrame, tree: Tree, bits: list[int]) -> tuple[list[np.ndarray], list[tuple[slice, np.ndarray]]]:
+    """Each predictor's slot values from all texts; and by predictor where to put which values for those without the texts marked ``tuning``."""
+    parts = bit_parts(training, tree, bits)
+    return bit_tables(parts, bits, "values"), [(slice(None), x) for x in bit_tables(parts, bits, "rest")]
+
+
+def bit_cells(texts: DataFrame, model: Model) -> np.ndarray:
+    """The counts that the fit starts from, of all bits of the texts."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches):
+        cells = np.zeros(CELLS, np.int64)
+        for batch in slices(batches):
+            add_cells(shared.value, *stream(batch.column("text")), cells)
+        place = np.flatnonzero(cells)
+        yield from _portions(_entries(place, cells[place]), False, TaskContext.get().partitionId())
+
+    rows = _summed(texts.mapInArrow(work, _PORTION), texts)
+    out = np.zeros(-(-CELLS // (2 << PART)) * (2 << PART), np.int64)
+    for row in rows.groupBy("predictor", "part").applyInArrow(_added, _PORTION).toLocalIterator():
+        place, count = _unpacked(pa.Codec("zstd"), row["counts"])
+        np.add.at(out, (((row["predictor"] << MOST_SLOTS - PART) + row["part"]) << PART + 1) + place, count)
+    shared.destroy()
+    return out[:CELLS]
+
+
+def trained(training: DataFrame, follow: np.ndarray) -> Model:
+    """The model of texts (id, text), of which the byte pairs are counted already."""
+    tree, bits = Tree(follow.reshape(256, 256)), slot_bits(int(follow.sum()))
+    training = training.select("text", (F.pmod(F.xxhash64(F.lit(9), "id", "text"), F.lit(2)) == 1).alias("tuning"))
+    parts = bit_parts(training, tree, bits)
+    cells = sum(bit_cells(training.filter(half).select("text"), Model.start(tree, bit_tables(parts, bits, others))) for half, others in ((F.col("tuning"), "rest"), (~F.col("tuning"), "own")))
+    model = Model.start(tree, bit_tables(parts, bits, "values"))
+    fit(model, cells)
     return model
 
 
@@ -578,7 +647,7 @@ def score(docs: DataFrame, learn: Column, held: Column, id_column: str = "doc_id
     order = np.argsort(keys)
     known = (keys[order], np.asarray(frequent.column("n").combine_chunks())[order])
     follow = np.array([few.get((1, pair), 0) for pair in range(1 << 16)])
-    shared = spark.sparkContext.broadcast((trained(training, follow, train_docs), known))
+    shared = spark.sparkContext.broadcast((trained(training, follow), known))
     scale = tokens + distinct + 1
 
     def work(batches):

@@ -114,6 +114,28 @@ def test_counts_are_summed_in_steps(spark, monkeypatch):
     assert all((a == b).all() for a, b in zip(values, rest))
 
 
+def test_starting_weights_are_of_all_training_documents(spark):
+    """Every bit of every training document, long ones too, is counted once for the fit, and the weights are those of a plain fit."""
+    import pyarrow as pa
+
+    draw = np.random.default_rng(8)
+    texts = [" ".join(draw.choice(["alpha", "beta", "gamma", "delta", "of", "is"], 4000).tolist()) for _ in range(6)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    text, ends = mixlm.stream(pa.array(texts))
+    pairs = mixlm.pairs_of(text, ends)
+    model = mixlm.trained(docs, np.bincount(pairs, minlength=1 << 16))
+    assert np.abs(model.weights - np.array(mixlm.START)).max() > 0.01
+    cells = mixlm.bit_cells(docs, model)
+    assert cells.sum() == model.tree.length[pairs].sum()
+    plain, x = {}, list(model.walk(text, pairs, mixlm.contexts(text, ends)))
+    for _, bit, values, gate in x:
+        odds = np.stack(values) / mixlm.UNIT
+        level = np.sign(odds) * sum(np.abs(odds) >= edge for edge in mixlm.EDGES)
+        for key in zip(gate.tolist(), *level.astype(int).tolist(), bit.astype(int).tolist()):
+            plain[key] = plain.get(key, 0) + 1
+    assert sorted(plain.values()) == sorted(cells[cells > 0].tolist())
+
+
 def test_stream_is_words_with_single_spaces():
     import pyarrow as pa
 
