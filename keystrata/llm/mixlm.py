@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import LARGE_SLICE, SLICE_BYTES, Words, cut, estimated_parts, raw, slices, small_batches
+from keystrata.llm.common import LARGE_SLICE, LOWER, SLICE_BYTES, Words, cut, estimated_parts, raw, slices, small_batches
 from keystrata.llm.langid import held_out
 
 #: How many bytes before a position each predictor's context has; ``WORD``: the word so far (its last eight bytes and its length).
@@ -47,9 +47,9 @@ PREDICTORS = len(ORDERS)
 #: training text, up to ``MOST_SLOTS`` (contexts of two and three bytes are few).
 LEAST_SLOTS, MOST_SLOTS, SLOT_BYTES = 22, 24, 128
 FEW_SLOTS = {2: 18, 3: 20}
-#: Slots of one part of a table, as a power of two; bits of a count beside its place.
+#: Slots of one part of a table, as a power of two; bits of a count beside its place, and beside a pair.
 PART = 16
-COUNT_BITS = 32
+COUNT_BITS, TIMES_BITS = 32, 20
 DEEPEST = 14
 #: Weights every document starts with, by predictor; and how fast they move.
 START = (0.25, 0.25, 0.25, 0.25)
@@ -75,39 +75,38 @@ SCALE = 12.0
 UNIT = 16 * SCALE
 FREQUENT = 1_000_000
 HELD_WORDS = 1_500_000
-HELD_SLOTS = 1 << 22
+HELD_PAIRS = 1 << 22
 #: Portions of counts that one step adds up, about.
 ADDED = 64
 LN10 = math.log(10)
 
-_WHITE = np.zeros(256, bool)
-_WHITE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes as the model reads them: lower-cased, and one kind of white space.
+_READ = np.frombuffer(LOWER, np.uint8).copy()
+_READ[range(0x09, 0x0E)] = 32
 #: By length: a mask of so many bytes before a position, the nearest in the top byte.
 _LAST_BYTES = np.array([(1 << 64) - (1 << 64 - 8 * k) for k in range(9)], np.uint64)
-_NODE = 0x9E3779B1
+_NODE = np.uint32(0x9E3779B1)
 
 
 def stream(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The texts as the model reads them (end symbol 0), one after another, and n+1 offsets."""
-    closed = pc.binary_join_element_wise(pc.ascii_lower(pc.fill_null(column, "")), pa.scalar("\n", column.type), pa.scalar("", column.type))
+    closed = pc.binary_join_element_wise(pc.fill_null(column, ""), pa.scalar("\n", column.type), pa.scalar("", column.type))
     data, offsets = raw(closed)
     b = np.frombuffer(data, np.uint8)
     if not len(b):
         return b, offsets
-    white = _WHITE[b]
-    keep = ~white
-    last = offsets[1:] - 1
-    starts = offsets[:-1]
-    after = np.empty_like(white)
-    after[0] = False
-    after[1:] = ~white[:-1]
-    after[starts] = False
-    keep |= white & after
-    count = np.concatenate([[0], np.cumsum(keep)])
-    blank = count[offsets[1:]] == count[offsets[:-1]]
-    keep[last[blank]] = True
-    out = np.where(white, 32, b)[keep].astype(np.uint8)
-    ends = np.concatenate([[0], np.cumsum(np.add.reduceat(keep.astype(np.int64), starts))])
+    b = np.take(_READ, b)
+    white = b == 32
+    starts, last = offsets[:-1], offsets[1:] - 1
+    drop = white.copy()
+    drop[1:] &= white[:-1]
+    drop[starts] = white[starts]
+    gone = np.flatnonzero(drop)
+    before = np.searchsorted(gone, offsets)
+    blank = np.diff(before) == np.diff(offsets)
+    drop[last[blank]] = False
+    ends = offsets - before + np.concatenate([[0], np.cumsum(blank)])
+    out = b[~drop]
     out[ends[1:] - 1] = 0
     return out, ends
 
@@ -122,7 +121,7 @@ class Tree:
         counts = np.asarray(counts, float)
         overall = counts.sum(axis=0) + 0.01
         overall /= overall.sum()
-        self.length, self.code = np.zeros((256, 256), np.uint8), np.zeros((256, 256), np.int64)
+        self.length, self.code = np.zeros((256, 256), np.uint8), np.zeros((256, 256), np.uint32)
         made: dict[bool, tuple] = {}
         for before in range(256):
             seen = bool(counts[before].any())
@@ -143,7 +142,7 @@ def pairs_of(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def contexts(text: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-    """A hash of 40 bits of each predictor's context at every position."""
+    """A hash of 32 bits of each predictor's context at every position."""
     n = len(text)
     padded = np.concatenate([np.zeros(8, np.uint8), text, np.zeros(8, np.uint8)])
     before = np.ndarray((n,), "<u8", padded, strides=(1,)).copy()
@@ -167,10 +166,12 @@ def contexts(text: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
             else:
                 x = (before >> np.uint64(64 - 8 * order)) + np.uint64(1 + order)
             x *= np.uint64(0xBF58476D1CE4E5B9)
-            x ^= x >> np.uint64(29)
-            x *= np.uint64(0x94D049BB133111EB)
-            x >>= np.uint64(24)
-            out.append(x.view(np.int64))
+            x >>= np.uint64(32)
+            y = x.astype(np.uint32)
+            y ^= y >> np.uint32(16)
+            y *= np.uint32(0x85EBCA6B)
+            y ^= y >> np.uint32(13)
+            out.append(y)
     return out
 
 
@@ -182,26 +183,39 @@ def slot_bits(training_bytes: int) -> list[int]:
 
 def _path(code: np.ndarray, depth: int) -> np.ndarray:
     """The hash of a code's node at a depth: its path so far."""
-    x = code & ((1 << depth) - 1)
-    x |= 1 << depth
+    x = code & np.uint32((1 << depth) - 1)
+    x |= np.uint32(1 << depth)
     x *= _NODE
     return x
 
 
-def count_bits(tree: Tree, bits: list[int], text: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The text's bits, in no order: places (predictor, slot, bit), each with a count in the low ``COUNT_BITS`` bits; a place may come again."""
+def count_pairs(bits: list[int], text: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """What the text's bits follow from, each with how often it comes in the low ``TIMES_BITS`` bits: predictor, context, and the two bytes around, which mostly come again within a text."""
     follow = pairs_of(text, ends)
     out = []
     for k, h in enumerate(contexts(text, ends)):
-        # A context and the two bytes around mostly come again within a text, so the tree is walked once for each.
-        pairs = (h << 16 | follow).view(np.uint64)
+        h &= np.uint32((1 << bits[k]) - 1)
+        pairs = h.astype(np.int64)
+        pairs <<= 16
+        pairs |= follow
         pairs.sort()
-        new = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]])) if len(pairs) else np.zeros(0, np.int64)
-        times = np.diff(np.append(new, len(pairs)))
-        pairs = pairs[new]
-        h, own = (pairs >> np.uint64(16)).view(np.int64), (pairs & np.uint64(0xFFFF)).view(np.int64)
+        new = _first(pairs)
+        pairs, times = pairs[new], np.diff(np.append(new, len(pairs)))
+        pairs |= k << MOST_SLOTS + 16
+        out.append(_entries(pairs, times, TIMES_BITS))
+    return np.concatenate(out)
+
+
+def bits_of(tree: Tree, bits: list[int], found: np.ndarray) -> Iterator[np.ndarray]:
+    """By predictor: the bits of counted pairs, in no order: places (predictor, slot, bit), each with a count in the low ``COUNT_BITS`` bits; a place may come again."""
+    cuts = np.searchsorted(found, np.arange(PREDICTORS + 1) << MOST_SLOTS + 16 + TIMES_BITS)
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        times = found[a:b] & (1 << TIMES_BITS) - 1
+        pairs = found[a:b] >> TIMES_BITS
+        h, own = (pairs >> 16).astype(np.uint32), pairs & 0xFFFF
         code, length = np.take(tree.code, own), np.take(tree.length, own)
-        mask, found = (1 << bits[k]) - 1, []
+        times += k << MOST_SLOTS + 1 + COUNT_BITS
+        out = [np.zeros(0, np.int64)]
         for depth in range(DEEPEST):
             if depth:
                 deep = np.flatnonzero(length > depth)
@@ -209,39 +223,50 @@ def count_bits(tree: Tree, bits: list[int], text: np.ndarray, ends: np.ndarray)
                     break
                 h, code, length, times = (np.take(x, deep, mode="clip") for x in (h, code, length, times))
             slot = h + _path(code, depth)
-            slot &= mask
+            slot &= np.uint32((1 << bits[k]) - 1)
             slot <<= 1
             slot += code >> depth & 1
-            slot += k << MOST_SLOTS + 1
-            slot <<= COUNT_BITS
-            slot += times
-            found.append(slot)
-        out += found
-    return np.concatenate(out)
+            place = slot.astype(np.int64)
+            place <<= COUNT_BITS
+            place += times
+            out.append(place)
+        yield np.concatenate(out)
 
 
-def merged(found: list[np.ndarray]) -> np.ndarray:
-    """The distinct places, in order, each with its count in the low ``COUNT_BITS`` bits: a place's counts added up, in as many entries as that takes."""
-    x = np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+def count_bits(tree: Tree, bits: list[int], text: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The text's bits, as ``bits_of`` has them."""
+    return np.concatenate(list(bits_of(tree, bits, merged([count_pairs(bits, text, ends)], TIMES_BITS))))
+
+
+def _first(x: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before, and 0."""
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
+def merged(found: list[np.ndarray], low: int = COUNT_BITS) -> np.ndarray:
+    """The distinct places, in order, each with its count in the ``low`` bits: a place's counts added up, in as many entries as that takes."""
+    x = np.concatenate(found) if found else np.zeros(0, np.int64)
     if not len(x):
         return x
-    place = x >> COUNT_BITS
-    new = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    x.sort()
+    place = x >> low
+    new = _first(place)
     place = place[new]
-    x &= (1 << COUNT_BITS) - 1
-    total = np.add.reduceat(x, new)
-    return _entries(place, total)
+    x &= (1 << low) - 1
+    return _entries(place, np.add.reduceat(x, new), low)
 
 
-def _entries(place: np.ndarray, total: np.ndarray) -> np.ndarray:
+def _entries(place: np.ndarray, total: np.ndarray, low: int = COUNT_BITS) -> np.ndarray:
     """Places with their counts in the low bits; a count too large for those takes more entries."""
-    most = (1 << COUNT_BITS) - 1
+    most = (1 << low) - 1
     if len(total) and int(total.max()) > most:
         times = -(-total // most)
         place, total = np.repeat(place, times), np.repeat(total, times)
         turn = np.arange(len(total)) - np.repeat(np.cumsum(times) - times, times)
         total = np.minimum(total - turn * most, most)
-    return (place << COUNT_BITS) + total
+    return (place << low) + total
 
 
 def slot_values(counts: np.ndarray) -> np.ndarray:
@@ -295,7 +320,7 @@ class Model:
             v = []
             for k, table in enumerate(self.values):
                 slot = h[k] + node
-                slot &= len(table) - 1
+                slot &= np.uint32(len(table) - 1)
                 v.append(np.take(table, slot, mode="clip"))
             gate = ((v[-1] & 15) * np.int16(CLASSES) + (v[-2] & 15)).astype(np.intp)
             yield at, (code >> depth & 1).astype(np.float32), [x.astype(np.float32) for x in v], gate
@@ -321,7 +346,7 @@ def _levels() -> np.ndarray:
 _LEVEL = _levels()
 _STANDS = np.array([-x for x in STANDS[:0:-1]] + list(STANDS))
 #: Positions that are looked at together, as a power of two.
-TOGETHER = 20
+TOGETHER = 21
 
 
 def add_cells(model: Model, text: np.ndarray, ends: np.ndarray, cells: np.ndarray) -> None:
@@ -331,9 +356,13 @@ def add_cells(model: Model, text: np.ndarray, ends: np.ndarray, cells: np.ndarra
     for a in range(0, len(text), 1 << TOGETHER):
         pairs, h = every[a : a + low + 1], [x[a : a + low + 1] for x in hashed]
         # All contexts and the next byte mostly come again, so the tree is walked once for each; the sort brings equal ones together.
-        key = h[-2] * _NODE
-        key += h[-1] * 0x632BE59BD9B4E019
-        key += pairs * 0x58476D1CE4E5B9
+        key = h[-2].astype(np.int64)
+        key <<= 32
+        key |= h[-1]
+        key *= 0x1E3779B97F4A7C15
+        key ^= key >> 32
+        key += pairs
+        key *= 0x58476D1CE4E5B9
         key &= ~low
         key |= np.arange(len(key))
         key.sort()
@@ -566,13 +595,15 @@ def bit_parts(training: DataFrame, tree: Tree, bits: list[int]) -> DataFrame:
             for tuning in held:
                 own = batch.filter(pc.equal(batch.column("tuning"), tuning))
                 if own.num_rows:
-                    held[tuning].append(count_bits(tree, bits, *stream(own.column("text"))))
-                if sum(map(len, held[tuning])) > HELD_SLOTS:
-                    held[tuning] = [merged(held[tuning])]
-                    if len(held[tuning][0]) > HELD_SLOTS // 2:
-                        yield from _portions(held[tuning].pop(), tuning, salt)
+                    held[tuning].append(count_pairs(bits, *stream(own.column("text"))))
+                if sum(map(len, held[tuning])) > HELD_PAIRS:
+                    held[tuning] = [merged(held[tuning], TIMES_BITS)]
+                    if len(held[tuning][0]) > HELD_PAIRS * 3 // 4:
+                        for found in bits_of(tree, bits, held[tuning].pop()):
+                            yield from _portions(merged([found]), tuning, salt)
         for tuning in held:
-            yield from _portions(merged(held[tuning]), tuning, salt)
+            for found in bits_of(tree, bits, merged(held[tuning], TIMES_BITS)):
+                yield from _portions(merged([found]), tuning, salt)
 
     rows = _summed(training.mapInArrow(work, _PORTION), training)
     return cut(rows.groupBy("predictor", "part").applyInArrow(_values, "predictor int, part int, " + ", ".join(f"{x} binary" for x in _HALVES)))
@@ -599,7 +630,7 @@ def bit_cells(texts: DataFrame, model: Model) -> np.ndarray:
 
     def work(batches):
         cells = np.zeros(CELLS, np.int64)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=LARGE_SLICE):
             add_cells(shared.value, *stream(batch.column("text")), cells)
         place = np.flatnonzero(cells)
         yield from _portions(_entries(place, cells[place]), False, TaskContext.get().partitionId())
