@@ -81,8 +81,7 @@ ADDED = 64
 LN10 = math.log(10)
 
 #: Bytes as the model reads them: lower-cased, and one kind of white space.
-_READ = np.frombuffer(LOWER, np.uint8).copy()
-_READ[range(0x09, 0x0E)] = 32
+_READ = LOWER[:0x09] + b" " * 5 + LOWER[0x0E:]
 #: By length: a mask of so many bytes before a position, the nearest in the top byte.
 _LAST_BYTES = np.array([(1 << 64) - (1 << 64 - 8 * k) for k in range(9)], np.uint64)
 _NODE = np.uint32(0x9E3779B1)
@@ -92,10 +91,9 @@ def stream(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The texts as the model reads them (end symbol 0), one after another, and n+1 offsets."""
     closed = pc.binary_join_element_wise(pc.fill_null(column, ""), pa.scalar("\n", column.type), pa.scalar("", column.type))
     data, offsets = raw(closed)
-    b = np.frombuffer(data, np.uint8)
+    b = np.frombuffer(data.translate(_READ), np.uint8)
     if not len(b):
         return b, offsets
-    b = np.take(_READ, b)
     white = b == 32
     starts, last = offsets[:-1], offsets[1:] - 1
     drop = white.copy()
@@ -300,8 +298,8 @@ class Model:
     def start(tree: Tree, values: list[np.ndarray]) -> Model:
         return Model(tree, values, np.tile(np.array(START), (GATES, 1)), np.zeros(BUCKETS))
 
-    def walk(self, text: np.ndarray, pairs: np.ndarray, hashed: list[np.ndarray]) -> Iterator[tuple]:
-        """For each depth: the positions whose bytes go that deep (None: all), their bits, each predictor's log odds times ``UNIT``, and the gates.
+    def walk(self, text: np.ndarray, pairs: np.ndarray, hashed: list[np.ndarray], kind: type = np.float32) -> Iterator[tuple]:
+        """For each depth: the positions whose bytes go that deep (None: all), their bits, each predictor's log odds times ``UNIT``, and the gates; bits and odds as ``kind``.
 
         A class adds less than one step of the log odds, so values serve as they are.
         """
@@ -323,7 +321,7 @@ class Model:
                 slot &= np.uint32(len(table) - 1)
                 v.append(np.take(table, slot, mode="clip"))
             gate = ((v[-1] & 15) * np.int16(CLASSES) + (v[-2] & 15)).astype(np.intp)
-            yield at, (code >> depth & 1).astype(np.float32), [x.astype(np.float32) for x in v], gate
+            yield at, (code >> depth & 1).astype(kind), [x.astype(kind, copy=False) for x in v], gate
 
 
 #: How fast the chance moves with the log odds, in the middle of each bucket.
@@ -344,13 +342,21 @@ def _levels() -> np.ndarray:
 
 
 _LEVEL = _levels()
+
+
+def levelled(model: Model) -> Model:
+    """The model with levels instead of log odds in its tables, 16 * level + class: a byte a slot."""
+    values = [(np.take(_LEVEL, v.astype(np.intp) + (1 << 15)) * 16 + (v & 15)).astype(np.uint8) for v in model.values]
+    return Model(model.tree, values, model.weights, model.correction)
+
+
 _STANDS = np.array([-x for x in STANDS[:0:-1]] + list(STANDS))
 #: Positions that are looked at together, as a power of two.
 TOGETHER = 21
 
 
 def add_cells(model: Model, text: np.ndarray, ends: np.ndarray, cells: np.ndarray) -> None:
-    """Adds all bits of the texts to the counts that the fit starts from."""
+    """Adds all bits of the texts to the counts that the fit starts from; the model is ``levelled``."""
     every, hashed = pairs_of(text, ends), contexts(text, ends)
     low = (1 << TOGETHER) - 1
     for a in range(0, len(text), 1 << TOGETHER):
@@ -374,12 +380,12 @@ def add_cells(model: Model, text: np.ndarray, ends: np.ndarray, cells: np.ndarra
             new[1:] |= x[1:] != x[:-1]
         new = np.flatnonzero(new)
         times, key = np.diff(np.append(new, len(key))), key[new]
-        for at, bit, x, cell in model.walk(text, np.take(pairs, key), [np.take(v, key) for v in h]):
+        for at, bit, x, cell in model.walk(text, np.take(pairs, key), [np.take(v, key) for v in h], np.uint8):
             for v in x:
                 cell *= LEVELS
-                cell += np.take(_LEVEL, v.astype(np.intp) + (1 << 15), mode="clip")
+                cell += v >> 4
             cell *= 2
-            cell += bit.astype(np.intp)
+            cell += bit
             np.add.at(cells, cell, times if at is None else np.take(times, at, mode="clip"))
 
 
@@ -450,7 +456,7 @@ def costs(model: Model, text: np.ndarray, ends: np.ndarray) -> np.ndarray:
             if i is None:
                 first, some, many = starts, slice(None), n
             else:
-                first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+                first = _first(d)
                 some, many = d[first], np.diff(np.append(first, len(d)))
             total[left[some]] -= np.add.reduceat(np.log(1 - np.minimum(np.abs(error), MOST)), first, dtype=np.float64)
             bits[some] += many
@@ -626,7 +632,7 @@ def bit_values(training: DataFrame, tree: Tree, bits: list[int]) -> tuple[list[n
 
 def bit_cells(texts: DataFrame, model: Model) -> np.ndarray:
     """The counts that the fit starts from, of all bits of the texts."""
-    shared = texts.sparkSession.sparkContext.broadcast(model)
+    shared = texts.sparkSession.sparkContext.broadcast(levelled(model))
 
     def work(batches):
         cells = np.zeros(CELLS, np.int64)

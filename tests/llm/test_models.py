@@ -144,6 +144,30 @@ def test_stream_is_words_with_single_spaces():
     assert [bytes(text[a:b]) for a, b in zip(ends, ends[1:])] == [b"\0", b"\0", b"a b\0", b"x y\0", b"\0", "é z\0".encode()]
 
 
+def test_stream_against_a_plain_one():
+    import re
+
+    import pyarrow as pa
+
+    r = np.random.default_rng(9)
+    texts = ["".join(r.choice(list(" \t\nAbZé\x0b\x1f"), int(n)).tolist()) for n in r.integers(0, 9, 400)]
+    text, ends = mixlm.stream(pa.array(texts))
+    plain = [" ".join(re.findall(r"[^\x20\x09-\x0D]+", t)).encode().lower() + b"\0" for t in texts]
+    assert [bytes(text[a:b]) for a, b in zip(ends, ends[1:])] == plain
+
+
+def test_pairs_come_once(monkeypatch):
+    """A context and the bytes around are held once however often they come, in more entries only where a count is too large for one."""
+    text = np.frombuffer(b"ab " * 500, np.uint8)
+    ends, bits = np.array([0, len(text)]), [18] * mixlm.PREDICTORS
+    tree = mixlm.Tree(follow(text))
+    assert len(mixlm.count_pairs(bits, text, ends)) < 50
+    whole = mixlm.merged([mixlm.count_bits(tree, bits, text, ends)])
+    monkeypatch.setattr(mixlm, "TIMES_BITS", 3)
+    assert len(mixlm.count_pairs(bits, text, ends)) > 500
+    assert mixlm.merged([mixlm.count_bits(tree, bits, text, ends)]).tolist() == whole.tolist()
+
+
 def test_near_duplicate_recall(spark):
     """All links of the given documents, by an inverted index of shingles."""
     from collections import Counter, defaultdict
