@@ -25,6 +25,7 @@ are 0 and predictions are even; other columns, whatever their names, are ignored
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -70,6 +71,8 @@ BUCKETS, REACH = 32, 12.0
 CELLS = GATES * LEVELS**PREDICTORS * 2
 MAP_PULL = 40.0
 FIRST_BLOCK, LAST_BLOCK = 256, 8192
+#: Positions whose bits are looked at together, about: what they take stays near the processor.
+RUN = 1 << 14
 SMOOTHING = 0.02
 SCALE = 12.0
 UNIT = 16 * SCALE
@@ -129,6 +132,17 @@ class Tree:
             self.length[before], self.code[before] = made[seen]
         self.length, self.code = self.length.ravel(), self.code.ravel()
 
+    @functools.cached_property
+    def paths(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each pair's path begins; and of all paths, a step after another, the hash of the node and the bit."""
+        first = np.cumsum(self.length, dtype=np.int64) - self.length
+        node, bit = np.zeros(int(self.length.sum()), np.uint32), np.zeros(int(self.length.sum()), np.uint8)
+        for depth in range(DEEPEST):
+            deep = np.flatnonzero(self.length > depth)
+            node[first[deep] + depth] = _path(self.code[deep], depth)
+            bit[first[deep] + depth] = self.code[deep] >> depth & 1
+        return first, node, bit
+
 
 def pairs_of(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """before * 256 + next at every position; 0 comes before a text."""
@@ -298,30 +312,34 @@ class Model:
     def start(tree: Tree, values: list[np.ndarray]) -> Model:
         return Model(tree, values, np.tile(np.array(START), (GATES, 1)), np.zeros(BUCKETS))
 
-    def walk(self, text: np.ndarray, pairs: np.ndarray, hashed: list[np.ndarray], kind: type = np.float32) -> Iterator[tuple]:
-        """For each depth: the positions whose bytes go that deep (None: all), their bits, each predictor's log odds times ``UNIT``, and the gates; bits and odds as ``kind``.
+    def bits(self, pairs: np.ndarray, hashed: list[np.ndarray], kind: type = np.float32) -> tuple:
+        """All bits of the positions, one position's after another's: the position of each, the bits, each predictor's log odds times ``UNIT``, and the gates; bits and odds as ``kind``.
 
         A class adds less than one step of the log odds, so values serve as they are.
         """
-        code, length = np.take(self.tree.code, pairs), np.take(self.tree.length, pairs)
-        at, h = None, hashed
-        for depth in range(DEEPEST):
-            if depth:
-                deep = np.flatnonzero(length > depth)
-                if not len(deep):
-                    return
-                if len(deep) < len(length):
-                    h = [np.take(x, deep, mode="clip") for x in h]
-                    code, length = np.take(code, deep, mode="clip"), np.take(length, deep, mode="clip")
-                    at = deep if at is None else np.take(at, deep, mode="clip")
-            node = _path(code, depth)
-            v = []
-            for k, table in enumerate(self.values):
-                slot = h[k] + node
-                slot &= np.uint32(len(table) - 1)
-                v.append(np.take(table, slot, mode="clip"))
-            gate = ((v[-1] & 15) * np.int16(CLASSES) + (v[-2] & 15)).astype(np.intp)
-            yield at, (code >> depth & 1).astype(kind), [x.astype(kind, copy=False) for x in v], gate
+        first, node, one = self.tree.paths
+        length = np.take(self.tree.length, pairs)
+        at = np.repeat(np.arange(len(pairs)), length)
+        step = np.take(first, pairs)
+        step -= np.cumsum(length, dtype=np.int64) - length
+        step = np.take(step, at, mode="clip")
+        step += np.arange(len(at))
+        node = np.take(node, step, mode="clip")
+        v = []
+        for h, table in zip(hashed, self.values):
+            slot = np.take(h, at, mode="clip")
+            slot += node
+            slot &= np.uint32(len(table) - 1)
+            v.append(np.take(table, slot, mode="clip"))
+        gate = ((v[-1] & 15) * np.int16(CLASSES) + (v[-2] & 15)).astype(np.intp)
+        return at, np.take(one, step, mode="clip").astype(kind), [x.astype(kind, copy=False) for x in v], gate
+
+    def walk(self, text: np.ndarray, pairs: np.ndarray, hashed: list[np.ndarray], kind: type = np.float32) -> Iterator[tuple]:
+        """``bits`` of the text's positions, a run of ``RUN`` after another."""
+        for a in range(0, len(pairs), RUN):
+            at, *rest = self.bits(pairs[a : a + RUN], [x[a : a + RUN] for x in hashed], kind)
+            at += a
+            yield at, *rest
 
 
 #: How fast the chance moves with the log odds, in the middle of each bucket.
@@ -386,7 +404,7 @@ def add_cells(model: Model, text: np.ndarray, ends: np.ndarray, cells: np.ndarra
                 cell += v >> 4
             cell *= 2
             cell += bit
-            np.add.at(cells, cell, times if at is None else np.take(times, at, mode="clip"))
+            np.add.at(cells, cell, np.take(times, at, mode="clip"))
 
 
 def fit(model: Model, cells: np.ndarray, rounds: int = 6) -> None:
@@ -428,24 +446,27 @@ def costs(model: Model, text: np.ndarray, ends: np.ndarray) -> np.ndarray:
     at, block = ends[:-1].copy(), FIRST_BLOCK
     left = np.flatnonzero(at < ends[1:])
     while len(left):
-        n = np.minimum(block, ends[1:][left] - at[left])
-        doc = np.repeat(np.arange(len(left)), n)
-        where = np.arange(int(n.sum())) + np.repeat(at[left] - (np.cumsum(n) - n), n)
-        h = [np.take(x, where, mode="clip") for x in hashed]
-        # A weight for each document and gate of this block, and a correction for each document and bucket.
-        weight = [(base[k][None, :] + own[k][left][:, None]).ravel() for k in range(PREDICTORS)]
-        add = correction[left].ravel()
-        starts = np.cumsum(n) - n
-        change, bits = np.zeros((PREDICTORS, len(left))), np.zeros(len(left))
-        off, seen = np.zeros(len(add)), np.zeros(len(add), np.int64)
-        for i, bit, x, gate in model.walk(text, np.take(pairs, where, mode="clip"), h):
-            d = doc if i is None else np.take(doc, i, mode="clip")
-            gate += d * GATES
+        every = np.minimum(block, ends[1:][left] - at[left])
+        cuts = _first((np.cumsum(every) - every) // RUN).tolist() + [len(left)]
+        for a, b in zip(cuts, cuts[1:]):
+            some, n = left[a:b], every[a:b]
+            starts = np.cumsum(n) - n
+            where = np.arange(int(n.sum())) + np.repeat(at[some] - starts, n)
+            near = np.take(pairs, where, mode="clip")
+            many = np.add.reduceat(np.take(model.tree.length, near), starts, dtype=np.int64)
+            first = np.cumsum(many) - many
+            doc = np.repeat(np.arange(len(some)), many)
+            # A weight for each document and gate of this block, and a correction for each document and bucket.
+            weight = [(base[k][None, :] + own[k][some][:, None]).ravel() for k in range(PREDICTORS)]
+            add = correction[some].ravel()
+            _, bit, x, gate = model.bits(near, [np.take(h, where, mode="clip") for h in hashed])
+            gate += doc * GATES
             mixed = x[0] * np.take(weight[0], gate, mode="clip")
             for k in range(1, PREDICTORS):
                 mixed += x[k] * np.take(weight[k], gate, mode="clip")
             bucket = bucket_of(mixed)
-            bucket += d * BUCKETS
+            doc *= BUCKETS
+            bucket += doc
             mixed += np.take(add, bucket, mode="clip")
             # error = bit - p(1); cost = -ln p(bit)
             np.negative(mixed, out=mixed)
@@ -453,23 +474,13 @@ def costs(model: Model, text: np.ndarray, ends: np.ndarray) -> np.ndarray:
             p += 1
             np.reciprocal(p, out=p)
             error = bit - p
-            if i is None:
-                first, some, many = starts, slice(None), n
-            else:
-                first = _first(d)
-                some, many = d[first], np.diff(np.append(first, len(d)))
-            total[left[some]] -= np.add.reduceat(np.log(1 - np.minimum(np.abs(error), MOST)), first, dtype=np.float64)
-            bits[some] += many
+            total[some] -= np.add.reduceat(np.log(1 - np.minimum(np.abs(error), MOST)), first, dtype=np.float64)
             for k in range(PREDICTORS):
                 x[k] *= error
-                change[k, some] += np.add.reduceat(x[k], first)
-            off += np.bincount(bucket, error, len(add))
-            seen += np.bincount(bucket, minlength=len(add))
-        for k in range(PREDICTORS):
-            own[k][left] += RATE / UNIT**2 * change[k] / np.sqrt(bits + 16)
-        surety[left] += seen.reshape(-1, BUCKETS) * _CURVE
-        correction[left] += (off.reshape(-1, BUCKETS) / surety[left]).astype(np.float32)
-        at[left] += n
+                own[k][some] += RATE / UNIT**2 * np.add.reduceat(x[k], first, dtype=np.float64) / np.sqrt(many + 16)
+            surety[some] += np.bincount(bucket, minlength=len(add)).reshape(-1, BUCKETS) * _CURVE
+            correction[some] += (np.bincount(bucket, error, len(add)).reshape(-1, BUCKETS) / surety[some]).astype(np.float32)
+            at[some] += n
         block = min(LAST_BLOCK, block * 2)
         left = left[at[left] < ends[1:][left]]
     return total
