@@ -133,21 +133,21 @@ class Tree:
         self.length, self.code = self.length.ravel(), self.code.ravel()
 
     @functools.cached_property
-    def paths(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Where each pair's path begins; and of all paths, a step after another, the hash of the node and the bit."""
+    def paths(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where each pair's path begins; and of all paths, a step after another, the hash of the node, with the bit in the top bit, which no slot has."""
         first = np.cumsum(self.length, dtype=np.int64) - self.length
-        node, bit = np.zeros(int(self.length.sum()), np.uint32), np.zeros(int(self.length.sum()), np.uint8)
+        node = np.zeros(int(self.length.sum()), np.uint32)
         for depth in range(DEEPEST):
             deep = np.flatnonzero(self.length > depth)
-            node[first[deep] + depth] = _path(self.code[deep], depth)
-            bit[first[deep] + depth] = self.code[deep] >> depth & 1
-        return first, node, bit
+            code = self.code[deep]
+            node[first[deep] + depth] = _path(code, depth) & np.uint32((1 << 31) - 1) | code >> np.uint32(depth) << np.uint32(31)
+        return first, node
 
 
 def pairs_of(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """before * 256 + next at every position; 0 comes before a text."""
-    out = text.astype(np.int64)
-    out[1:] += text[:-1].astype(np.int64) << 8
+    out = text.astype(np.uint16)
+    out[1:] |= text[:-1].astype(np.uint16) << np.uint16(8)
     starts = ends[:-1][ends[:-1] < len(text)]
     out[starts] = text[starts]
     return out
@@ -156,34 +156,39 @@ def pairs_of(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
 def contexts(text: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
     """A hash of 32 bits of each predictor's context at every position."""
     n = len(text)
-    padded = np.concatenate([np.zeros(8, np.uint8), text, np.zeros(8, np.uint8)])
-    before = np.ndarray((n,), "<u8", padded, strides=(1,)).copy()
-    for k in range(8):  # at a document's start, the last k bytes are its own
-        at = ends[:-1] + k
-        before[at[at < ends[1:]]] &= _LAST_BYTES[k]
-    out = []
+    padded = np.concatenate([np.zeros(8, np.uint8), text])
+    every = np.ndarray((n,), "<u8", padded, strides=(1,))
+    starts = ends[:-1][ends[:-1] < n]
+    out = [np.empty(n, np.uint32) for _ in ORDERS]
+    near, began = np.arange(8), 0
     with np.errstate(over="ignore"):
-        for order in ORDERS:
-            if order == WORD:
-                place = np.arange(n)
-                begin = np.zeros(n, np.int64)
-                after = np.flatnonzero(text[:-1] == 32) + 1
-                begin[after] = after
-                starts = ends[:-1][ends[:-1] < n]
-                begin[starts] = starts
-                place -= np.maximum.accumulate(begin)
-                x = before & np.take(_LAST_BYTES, place, mode="clip")
-                x += np.minimum(place, 255).astype(np.uint64)
-                x += np.uint64(0x632BE59BD9B4E019)
-            else:
-                x = (before >> np.uint64(64 - 8 * order)) + np.uint64(1 + order)
-            x *= np.uint64(0xBF58476D1CE4E5B9)
-            x >>= np.uint64(32)
-            y = x.astype(np.uint32)
-            y ^= y >> np.uint32(16)
-            y *= np.uint32(0x85EBCA6B)
-            y ^= y >> np.uint32(13)
-            out.append(y)
+        for a in range(0, n, RUN):  # what a run takes stays near the processor
+            b = min(n, a + RUN)
+            before = every[a:b].copy()
+            first, last = np.searchsorted(starts, (a - 7, b))
+            at = starts[first:last, None] + near  # at a document's start, the last k bytes are its own
+            own = (at >= a) & (at < np.minimum(ends[1:][first:last], b)[:, None])
+            before[at[own] - a] &= np.broadcast_to(_LAST_BYTES[:8], at.shape)[own]
+            for order, to in zip(ORDERS, out):
+                if order == WORD:
+                    begin = np.full(b - a, began - a, np.int64)
+                    for x in (np.flatnonzero(padded[a + 7 : b + 7] == 32), starts[np.searchsorted(starts, a) : last] - a):
+                        begin[x] = x
+                    np.maximum.accumulate(begin, out=begin)
+                    began = int(begin[-1]) + a
+                    place = np.arange(b - a) - begin
+                    x = before & np.take(_LAST_BYTES, place, mode="clip")
+                    x += np.minimum(place, 255, out=place).view(np.uint64)
+                    x += np.uint64(0x632BE59BD9B4E019)
+                else:
+                    x = before >> np.uint64(64 - 8 * order)
+                    x += np.uint64(1 + order)
+                x *= np.uint64(0xBF58476D1CE4E5B9)
+                x >>= np.uint64(32)
+                y = x.astype(np.uint32)
+                y ^= y >> np.uint32(16)
+                y *= np.uint32(0x85EBCA6B)
+                np.bitwise_xor(y, y >> np.uint32(13), out=to[a:b])
     return out
 
 
@@ -317,7 +322,7 @@ class Model:
 
         A class adds less than one step of the log odds, so values serve as they are.
         """
-        first, node, one = self.tree.paths
+        first, node = self.tree.paths
         length = np.take(self.tree.length, pairs)
         at = np.repeat(np.arange(len(pairs)), length)
         step = np.take(first, pairs)
@@ -332,14 +337,16 @@ class Model:
             slot &= np.uint32(len(table) - 1)
             v.append(np.take(table, slot, mode="clip"))
         gate = ((v[-1] & 15) * np.int16(CLASSES) + (v[-2] & 15)).astype(np.intp)
-        return at, np.take(one, step, mode="clip").astype(kind), [x.astype(kind, copy=False) for x in v], gate
+        node >>= np.uint32(31)
+        return at, node.astype(kind), [x.astype(kind, copy=False) for x in v], gate
 
     def walk(self, text: np.ndarray, pairs: np.ndarray, hashed: list[np.ndarray], kind: type = np.float32) -> Iterator[tuple]:
-        """``bits`` of the text's positions, a run of ``RUN`` after another."""
-        for a in range(0, len(pairs), RUN):
-            at, *rest = self.bits(pairs[a : a + RUN], [x[a : a + RUN] for x in hashed], kind)
-            at += a
-            yield at, *rest
+        """``bits`` of the text's positions by depth: those of the trees' roots first."""
+        at, bit, values, gate = self.bits(pairs, hashed, kind)
+        depth = np.arange(len(at)) - np.searchsorted(at, at)
+        for d in range(int(depth.max(initial=-1)) + 1):
+            own = np.flatnonzero(depth == d)
+            yield at[own], bit[own], [x[own] for x in values], gate[own]
 
 
 #: How fast the chance moves with the log odds, in the middle of each bucket.
@@ -398,13 +405,15 @@ def add_cells(model: Model, text: np.ndarray, ends: np.ndarray, cells: np.ndarra
             new[1:] |= x[1:] != x[:-1]
         new = np.flatnonzero(new)
         times, key = np.diff(np.append(new, len(key))), key[new]
-        for at, bit, x, cell in model.walk(text, np.take(pairs, key), [np.take(v, key) for v in h], np.uint8):
+        for b in range(0, len(key), RUN):
+            some = key[b : b + RUN]
+            at, bit, x, cell = model.bits(np.take(pairs, some), [np.take(v, some) for v in h], np.uint8)
             for v in x:
                 cell *= LEVELS
                 cell += v >> 4
             cell *= 2
             cell += bit
-            np.add.at(cells, cell, np.take(times, at, mode="clip"))
+            np.add.at(cells, cell, np.take(times[b : b + RUN], at, mode="clip"))
 
 
 def fit(model: Model, cells: np.ndarray, rounds: int = 6) -> None:

@@ -94,6 +94,29 @@ def test_counts_of_bits():
     assert mixlm.np.bincount(large >> 32, large & 0xFFFFFFFF).astype(int)[[7, 9]].tolist() == [3, (5 << 32) + 4]
 
 
+def test_contexts_are_made_in_runs(monkeypatch):
+    """Contexts take little memory beside their own, which is what their time went to; where runs begin doesn't matter."""
+    import tracemalloc
+
+    r = np.random.default_rng(10)
+    many = np.append(r.integers(1, 30, 400), 1 << 20)
+    ends = np.append(0, np.cumsum(many))
+    text = r.choice(np.frombuffer(b"abc   ", np.uint8), int(ends[-1]))
+    text[ends[1:] - 1] = 0
+    tracemalloc.start()
+    try:
+        whole = mixlm.contexts(text, ends)
+        assert tracemalloc.get_traced_memory()[1] < 24 * len(text)  # 4 bytes for each predictor, and a copy of the text
+    finally:
+        tracemalloc.stop()
+    short, borders = text[: ends[-2]], ends[:-1]
+    for run in (1, 5, 64):
+        monkeypatch.setattr(mixlm, "RUN", run)
+        assert all((a == b[: len(short)]).all() for a, b in zip(mixlm.contexts(short, borders), whole))
+    alone = [mixlm.contexts(short[a:b], np.array([0, b - a])) for a, b in zip(borders[:60], borders[1:61])]
+    assert all((np.concatenate(x) == y[: borders[60]]).all() for x, y in zip(zip(*alone), whole))
+
+
 def test_counts_are_summed_in_steps(spark, monkeypatch):
     """Tables of parts that meet in several steps are those of one count; tuning documents can be taken out."""
     import pyarrow as pa
