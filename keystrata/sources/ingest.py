@@ -15,6 +15,13 @@ if TYPE_CHECKING:
 
 #: Bytes of keys and values that a file of an ingestion has at least before the next one is begun.
 LEAST_ROLL = 1 << 20
+#: Bytes of rows that one task sorts, about, and what a row counts besides its key and value.
+TASK_BYTES, ROW_BYTES = 128 << 20, 128
+
+
+def task_count(rows: int, size: int) -> int:
+    """Tasks for so many rows with so many bytes of keys and values."""
+    return max(1, -(-(size + rows * ROW_BYTES) // TASK_BYTES))
 
 
 def out_of_order(rows: DataFrame, key: str, order: tuple[str, ...], runs: tuple[str, ...] = ()) -> DataFrame:
@@ -23,13 +30,14 @@ def out_of_order(rows: DataFrame, key: str, order: tuple[str, ...], runs: tuple[
     return rows.withColumn("_before", F.lag(key).over(w)).filter(F.col("_before") >= F.col(key)).drop("_before")
 
 
-def sorted_run(rows: DataFrame, seq: int, partitions: int) -> DataFrame:
+def sorted_run(rows: DataFrame, seq: int, partitions: int, tasks: int) -> DataFrame:
     """Rows (key, value, tombstone, expires_at_ns) as a run of one shared sequence, range-partitioned and sorted by key.
 
-    Duplicate keys raise: within one ingestion keys ascend strictly.
+    Duplicate keys raise: within one ingestion keys ascend strictly. They are looked for in ``tasks``, each of which sorts
+    its keys; counting them in hash maps would hold all keys of a task that reads.
     """
-    doubles = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
-    if doubles:
+    times = F.count("*").over(Window.partitionBy("key"))
+    if rows.select("key").repartition(tasks, "key").withColumn("n", times).filter("n > 1").limit(1).count():
         raise InvalidArgsError("ingested keys must ascend strictly")
     run = rows.withColumn("seq", F.lit(seq).cast("long")).withColumn("single_delete", F.lit(False))
     return run.repartitionByRange(partitions, "key").sortWithinPartitions("key")

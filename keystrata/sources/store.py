@@ -38,7 +38,7 @@ from keystrata.model import (
 from keystrata.operators import compaction, partitions, scan, statistics
 from keystrata.operators.keys import UNBOUNDED, Bound, host_sort_key, is_descending, merges_keys, sort_key, successor
 from keystrata.operators.resolve import resolve
-from keystrata.sources.ingest import Ingestion, sorted_run
+from keystrata.sources.ingest import Ingestion, sorted_run, task_count
 from keystrata.sources.manifest import Family, FileMeta, Journal, Lock, Manifest, b64, unb64, sync_folder
 
 #: Files that are being written stand in folders of this ending; what a crash leaves of them goes when the store opens.
@@ -269,7 +269,7 @@ class Store:
                         shutil.rmtree(os.path.join(folder, name), ignore_errors=True)
 
     def _write(self, name: str, rows: DataFrame, level: int, age: int | None = None) -> list[FileMeta]:
-        """Writes rows as files (Parquet directories) sorted by key, in one job and one more for their statistics.
+        """Writes rows as files (Parquet directories) sorted by key, in one job and two more for their statistics.
 
         Every partition of ``rows`` gives a file; a change of the column ``part``, where there is one, and of the codec that
         a key prefix has, begins another. Nothing names the files yet.
@@ -295,25 +295,29 @@ class Store:
                 return []
             long = F.length("value") >= config.klog_value_threshold
             size = F.length("key") + F.length("value")
-            read = self.spark.read.schema(f"{LOG_DDL}, cut_part string, cut_segment int").parquet(folder)
-            made = read.groupBy(F.col("_metadata.file_path").alias("file"), "cut_part").agg(
+            read = self.spark.read.schema(f"{LOG_DDL}, cut_part string, cut_segment int").parquet(folder).withColumns({"file": F.col("_metadata.file_path"), "place": F.col("_metadata.row_index")})
+            made = read.groupBy("file", "cut_part").agg(
                 F.count("*").alias("n"),
-                F.sum(F.col("tombstone").cast("long")),
-                F.max("seq"),
-                F.sum(F.when(long, F.length("key")).otherwise(size)),
-                F.sum(F.when(long, F.length("value")).otherwise(0)),
-                F.min("key").alias("low"),
-                F.max("key"),
+                F.sum(F.col("tombstone").cast("long")).alias("dead"),
+                F.max("seq").alias("top"),
+                F.sum(F.when(long, F.length("key")).otherwise(size)).alias("klog"),
+                F.sum(F.when(long, F.length("value")).otherwise(0)).alias("vlog"),
             )
+            found = made.collect()
+            # A file is in key order, so its first and last rows have its bounds: an aggregate of keys would sort all rows.
+            last = self.spark.createDataFrame([(r["file"], r["n"] - 1) for r in found], "file string, last long")
+            ends = read.select("file", "place", "key").join(F.broadcast(last), "file").filter((F.col("place") == 0) | (F.col("place") == F.col("last")))
+            bounds = {(r["file"], r["place"]): bytes(r["key"]) for r in ends.collect()}
+            whole = [(*r, bounds[r["file"], 0], bounds[r["file"], r["n"] - 1]) for r in found]
             out = []
-            for file, of, n, dead, top, klog, vlog, low, high in sorted(made.collect(), key=lambda r: (r["cut_part"], bytes(r["low"]))):
+            for file, of, n, dead, top, klog, vlog, low, high in sorted(whole, key=lambda r: (r[1], r[-2])):
                 source = unquote(urlsplit(file).path)
                 file_id = self._new_id()
                 path = os.path.join(self._folder(), f"{file_id}.parquet")
                 os.makedirs(path)
                 os.rename(source, os.path.join(path, os.path.basename(source)))
                 named = None if of == "none" else bytes.fromhex(of[1:]).decode()
-                out.append(FileMeta(file_id, level, path, n, dead, top, klog, vlog, bytes(low), bytes(high), named, None, age if age is not None else self.clock()))
+                out.append(FileMeta(file_id, level, path, n, dead, top, klog, vlog, low, high, named, None, age if age is not None else self.clock()))
             return out
         finally:
             if several:
@@ -514,16 +518,22 @@ class Store:
             return
         old = list(family.files)
         bottom = config.num_levels - 1
-        log = self.spark.read.schema(LOG_SCHEMA).parquet(*(m.path for m in old)).withColumn("sort_key", sort_key(F.col("key"), config.comparator))
+        log = self._dealt(name, old)
         kept = compaction.compact(log, self.oldest_snapshot, now, True, removes=self.filters.get(name), keys=self._keys(name))
         kept = kept.withColumn("part", self._part_column(config))
         new = self._rolled(name, kept, bottom, old)
         self._replace(family, old, new)
 
+    def _dealt(self, name: str, old: list[FileMeta]) -> DataFrame:
+        """All versions in some files with ``sort_key``, dealt by key to as many tasks as they take: what one task sorts doesn't grow with the data."""
+        log = self.spark.read.schema(LOG_SCHEMA).parquet(*(m.path for m in old)).withColumn("sort_key", sort_key(F.col("key"), self.config(name).comparator))
+        return log.repartition(task_count(sum(m.num_entries for m in old), sum(m.klog_size + m.vlog_size for m in old)), *self._keys(name))
+
     def _rolled(self, name: str, kept: DataFrame, level: int, old: list[FileMeta]) -> list[FileMeta]:
-        """Writes what a compaction of ``old`` keeps, in ranges of about the write buffer's size, cut where ``part`` changes."""
+        """Writes what a compaction of ``old`` keeps, in ranges of about the write buffer's size (less, if its rows are very short), cut where ``part`` changes."""
         ages = [m.max_entry_time for m in old if m.max_entry_time is not None]
-        runs = max(1, sum(m.klog_size + m.vlog_size for m in old) // self.config(name).write_buffer_size)
+        size = sum(m.klog_size + m.vlog_size for m in old)
+        runs = max(1, size // self.config(name).write_buffer_size, task_count(sum(m.num_entries for m in old), size) // 4)
         return self._write(name, kept.repartitionByRange(runs, "part", "key"), level, max(ages, default=None))
 
     def _replace(self, family: Family, old: list[FileMeta], new: list[FileMeta]) -> None:
@@ -554,7 +564,7 @@ class Store:
             ids |= {m.id for m in family.files if m.level in (level, level + 1)}
         old = [m for m in family.files if m.id in ids]
         bottom = not any(m.level > level + 1 or (m.level == level + 1 and m.id not in ids and level + 1 < last) for m in family.files)
-        log = self.spark.read.schema(LOG_SCHEMA).parquet(*(m.path for m in old)).withColumn("sort_key", sort_key(F.col("key"), config.comparator))
+        log = self._dealt(name, old)
         kept = compaction.compact(log, self.oldest_snapshot, self.clock(), bottom and level + 1 == last, removes=self.filters.get(name), keys=self._keys(name))
         part = self._part_column(config) if level + 1 == last else F.lit(None).cast("string")
         new = self._rolled(name, kept.withColumn("part", part), level + 1, old)
@@ -570,16 +580,18 @@ class Store:
         Nothing is visible before the manifest names the finished file.
         """
         self._writable()
-        if rows.filter("key is null").limit(1).count():
-            raise InvalidArgsError("an ingested key is null")
         if "tombstone" not in rows.columns:
             rows = rows.withColumn("tombstone", F.lit(False))
         if "expires_at_ns" not in rows.columns:
             rows = rows.withColumn("expires_at_ns", F.lit(0).cast("long"))
+        rows = rows.withColumn("value", F.coalesce("value", F.lit(b"")))
+        nulls, n, size = rows.agg(F.count_if(F.col("key").isNull()), F.count("*"), F.sum(F.length("key") + F.length("value"))).first()
+        if nulls:
+            raise InvalidArgsError("an ingested key is null")
         self.flush(name)
         seq = self.visible + 1
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions", "8"))
-        run = sorted_run(rows.withColumn("value", F.coalesce("value", F.lit(b""))), seq, parts)
+        tasks = task_count(n, size or 0)
+        run = sorted_run(rows, seq, max(tasks, int(self.spark.conf.get("spark.sql.shuffle.partitions", "8"))), tasks)
         made = self._write(name, run, 0)
         if made:
             self._installed(name, made, seq)
