@@ -88,6 +88,8 @@ _READ = LOWER[:0x09] + b" " * 5 + LOWER[0x0E:]
 #: By length: a mask of so many bytes before a position, the nearest in the top byte.
 _LAST_BYTES = np.array([(1 << 64) - (1 << 64 - 8 * k) for k in range(9)], np.uint64)
 _NODE = np.uint32(0x9E3779B1)
+#: Levels of a tree whose nodes share a line of a table's slots (64 bytes), as mostly do those of one position.
+NEAR = 5
 
 
 def stream(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -169,6 +171,7 @@ def contexts(text: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
             at = starts[first:last, None] + near  # at a document's start, the last k bytes are its own
             own = (at >= a) & (at < np.minimum(ends[1:][first:last], b)[:, None])
             before[at[own] - a] &= np.broadcast_to(_LAST_BYTES[:8], at.shape)[own]
+            last_four = before.astype("<u8", copy=False).view("<u4")[1::2]
             for order, to in zip(ORDERS, out):
                 if order == WORD:
                     begin = np.full(b - a, began - a, np.int64)
@@ -180,12 +183,17 @@ def contexts(text: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
                     x = before & np.take(_LAST_BYTES, place, mode="clip")
                     x += np.minimum(place, 255, out=place).view(np.uint64)
                     x += np.uint64(0x632BE59BD9B4E019)
-                else:
+                elif order > 4:
                     x = before >> np.uint64(64 - 8 * order)
                     x += np.uint64(1 + order)
-                x *= np.uint64(0xBF58476D1CE4E5B9)
-                x >>= np.uint64(32)
-                y = x.astype(np.uint32)
+                else:
+                    y = last_four >> np.uint32(32 - 8 * order)
+                    y += np.uint32(1 + order)
+                    y *= _NODE
+                if order == WORD or order > 4:
+                    x *= np.uint64(0xBF58476D1CE4E5B9)
+                    x >>= np.uint64(32)
+                    y = x.astype(np.uint32)
                 y ^= y >> np.uint32(16)
                 y *= np.uint32(0x85EBCA6B)
                 np.bitwise_xor(y, y >> np.uint32(13), out=to[a:b])
@@ -199,11 +207,19 @@ def slot_bits(training_bytes: int) -> list[int]:
 
 
 def _path(code: np.ndarray, depth: int) -> np.ndarray:
-    """The hash of a code's node at a depth: its path so far."""
+    """What a code's node at a depth, its path so far, changes of a context's hash: of each ``NEAR`` levels only the lowest bits, so that they are neighbours."""
+    above = depth - depth % NEAR
     x = code & np.uint32((1 << depth) - 1)
-    x |= np.uint32(1 << depth)
-    x *= _NODE
-    return x
+    low = x >> np.uint32(above)
+    low |= np.uint32(1 << depth - above)
+    if above:
+        x &= np.uint32((1 << above) - 1)
+        x |= np.uint32(1 << above)
+        x *= _NODE
+        x ^= x >> np.uint32(15)
+        x <<= np.uint32(NEAR)
+        low |= x
+    return low
 
 
 def count_pairs(bits: list[int], text: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -239,7 +255,7 @@ def bits_of(tree: Tree, bits: list[int], found: np.ndarray) -> Iterator[np.ndarr
                 if not len(deep):
                     break
                 h, code, length, times = (np.take(x, deep, mode="clip") for x in (h, code, length, times))
-            slot = h + _path(code, depth)
+            slot = h ^ _path(code, depth)
             slot &= np.uint32((1 << bits[k]) - 1)
             slot <<= 1
             slot += code >> depth & 1
@@ -324,16 +340,21 @@ class Model:
         """
         first, node = self.tree.paths
         length = np.take(self.tree.length, pairs)
-        at = np.repeat(np.arange(len(pairs)), length)
+        begin = np.cumsum(length, dtype=np.int64)
+        n = int(begin[-1]) if len(begin) else 0
+        begin -= length
+        at = np.zeros(n, np.intp)
+        at[begin[1:]] = 1
+        np.cumsum(at, out=at)
         step = np.take(first, pairs)
-        step -= np.cumsum(length, dtype=np.int64) - length
+        step -= begin
         step = np.take(step, at, mode="clip")
-        step += np.arange(len(at))
+        step += np.arange(n)
         node = np.take(node, step, mode="clip")
         v = []
         for h, table in zip(hashed, self.values):
             slot = np.take(h, at, mode="clip")
-            slot += node
+            slot ^= node
             slot &= np.uint32(len(table) - 1)
             v.append(np.take(table, slot, mode="clip"))
         gate = ((v[-1] & 15) * np.int16(CLASSES) + (v[-2] & 15)).astype(np.intp)
@@ -386,7 +407,7 @@ def add_cells(model: Model, text: np.ndarray, ends: np.ndarray, cells: np.ndarra
     low = (1 << TOGETHER) - 1
     for a in range(0, len(text), 1 << TOGETHER):
         pairs, h = every[a : a + low + 1], [x[a : a + low + 1] for x in hashed]
-        # All contexts and the next byte mostly come again, so the tree is walked once for each; the sort brings equal ones together.
+        # The two longest contexts and the next byte mostly come again, so the tree is walked once for each; the sort brings equal ones together.
         key = h[-2].astype(np.int64)
         key <<= 32
         key |= h[-1]
@@ -400,7 +421,7 @@ def add_cells(model: Model, text: np.ndarray, ends: np.ndarray, cells: np.ndarra
         key &= low
         new = np.zeros(len(key), bool)
         new[0] = True
-        for x in (pairs, *h):
+        for x in (pairs, *h[-2:]):  # the last six bytes have the shorter contexts in them
             x = np.take(x, key, mode="clip")
             new[1:] |= x[1:] != x[:-1]
         new = np.flatnonzero(new)
@@ -573,7 +594,7 @@ def _total(data: pa.ChunkedArray) -> np.ndarray:
     codec, total = pa.Codec("zstd"), np.zeros(2 << PART, np.int64)
     for x in data:
         place, count = _unpacked(codec, x.as_py())
-        np.add.at(total, place, count)
+        np.add.at(total, place, count.astype(np.int64))
     return total
 
 
@@ -665,7 +686,7 @@ def bit_cells(texts: DataFrame, model: Model) -> np.ndarray:
     out = np.zeros(-(-CELLS // (2 << PART)) * (2 << PART), np.int64)
     for row in rows.groupBy("predictor", "part").applyInArrow(_added, _PORTION).toLocalIterator():
         place, count = _unpacked(pa.Codec("zstd"), row["counts"])
-        np.add.at(out, (((row["predictor"] << MOST_SLOTS - PART) + row["part"]) << PART + 1) + place, count)
+        np.add.at(out, (((row["predictor"] << MOST_SLOTS - PART) + row["part"]) << PART + 1) + place, count.astype(np.int64))
     shared.destroy()
     return out[:CELLS]
 
@@ -717,7 +738,8 @@ def score(docs: DataFrame, learn: Column, held: Column, id_column: str = "doc_id
             text, ends = stream(column)
             nats = costs(model, text, ends)
             w = Words(column, lower=True)
-            unique, back = np.unique(w.hashes(), return_inverse=True)
+            coded = pa.array(w.hashes()).dictionary_encode()
+            unique, back = np.asarray(coded.dictionary), np.asarray(coded.indices)
             at = np.minimum(np.searchsorted(keys, unique), max(0, len(keys) - 1))
             found = keys[at] == unique if len(keys) else np.zeros(len(unique), bool)
             value = np.where(found, gain[at], 0.0) if len(keys) else np.zeros(len(unique))

@@ -94,6 +94,22 @@ def test_counts_of_bits():
     assert mixlm.np.bincount(large >> 32, large & 0xFFFFFFFF).astype(int)[[7, 9]].tolist() == [3, (5 << 32) + 4]
 
 
+def test_nodes_of_a_position_are_neighbours():
+    """A context's first nodes share a line of slots, and no two nodes of a tree share a slot of it."""
+    r = np.random.default_rng(11)
+    tree = mixlm.Tree(follow(r.integers(97, 123, 3000).astype(np.uint8)))
+    first, node = tree.paths
+    node &= np.uint32((1 << 31) - 1)
+    for before in (97, 0):
+        seen = {}
+        for pair in range(before * 256, before * 256 + 256):
+            n = int(tree.length[pair])
+            path = node[first[pair] : first[pair] + n].tolist()
+            assert all(0 < x < 32 for x in path[:5]) and len({x >> 5 for x in path[5:10]}) <= 1
+            for depth, x in enumerate(path):
+                assert seen.setdefault(x, (depth, int(tree.code[pair]) & (1 << depth) - 1)) == (depth, int(tree.code[pair]) & (1 << depth) - 1)
+
+
 def test_contexts_are_made_in_runs(monkeypatch):
     """Contexts take little memory beside their own, which is what their time went to; where runs begin doesn't matter."""
     import tracemalloc
