@@ -1,9 +1,9 @@
 """Language-model scores by logistic context mixing, beside a smoothed unigram score.
 
 The model reads a text as its lower-cased words, one space between them, and an end symbol. A byte is a path of bits in
-the Huffman tree that the byte before it has in the training texts. For each bit, predictors with hashed contexts (the
-last two, four and six bytes, and the word so far) give the log odds of the bit from counts; a logistic mixer adds
-them up with weights gated by the amount of evidence: a gate is how often the slots of the last two predictors were seen.
+the Huffman tree that the two bytes before it (where these are rare, the last) have in the training texts. For each bit, predictors with hashed contexts (the
+last four and six bytes, and the word so far) give the log odds of the bit from counts; a logistic mixer adds
+them up with weights gated by the amount of evidence: a gate is how often the slots of the predictors were seen.
 A last stage maps the mixer's log odds to corrected ones. Weights and corrections are refined online: after each block of
 a document, by the coding cost of all bits of that block. The cost of all bits is the text's probability.
 
@@ -42,7 +42,7 @@ from keystrata.llm.langid import held_out
 
 #: How many bytes before a position each predictor's context has; ``WORD``: the word so far (its last eight bytes and its length).
 WORD = 0
-ORDERS = (2, 4, 6, WORD)
+ORDERS = (4, 6, WORD)
 PREDICTORS = len(ORDERS)
 #: Slots of a predictor's table, as powers of two: at least ``LEAST_SLOTS``, and one for each ``SLOT_BYTES`` bytes of
 #: training text, up to ``MOST_SLOTS`` (contexts of two and three bytes are few).
@@ -50,11 +50,15 @@ LEAST_SLOTS, MOST_SLOTS, SLOT_BYTES = 22, 24, 128
 FEW_SLOTS = {2: 18, 3: 20}
 #: Slots of one part of a table, as a power of two; bits of a count beside its place, and beside a pair.
 PART = 16
-COUNT_BITS, TIMES_BITS = 32, 20
+COUNT_BITS, TIMES_BITS = 32, 16
+#: Bits of a place in the trees: which tree, and the next byte.
+OWN_BITS = 20
 DEEPEST = 14
+#: Trees for two bytes before at most, and how often each was seen at least; what else comes has the tree of the byte before.
+MOST_TREES, LEAST_SEEN = 768, 200
 #: Weights every document starts with, by predictor; and how fast they move.
-START = (0.25, 0.25, 0.25, 0.25)
-RATE = 0.02
+START = (1 / 3, 1 / 3, 1 / 3)
+RATE = 0.01
 PULL = 20.0
 #: Where the steps of a predictor's log odds begin, above 0, that the starting weights are fitted on; and what each stands for.
 EDGES = (0.4, 1.2, 2.3, 3.7, 4.8, 6.5)
@@ -62,9 +66,9 @@ STANDS = (0.0, 0.8, 1.7, 3.0, 4.2, 5.6, 7.8)
 LEVELS = 2 * len(EDGES) + 1
 #: No bit's chance counts as less than one minus this.
 MOST = np.float32(1 - 1e-6)
-#: Classes of how often a slot was seen; the last two predictors' classes together choose a set of weights.
+#: Classes of how often a slot was seen; the predictors' classes together choose a set of weights, two of the first one's as one.
 CLASSES = 8
-GATES = CLASSES * CLASSES
+GATES = CLASSES * CLASSES * CLASSES // 2
 #: The last stage maps the mixer's log odds, in so many buckets up to ``REACH`` to either side, to corrected ones.
 BUCKETS, REACH = 32, 12.0
 #: Counts that the fit starts from: a gate, a level for each predictor, and a bit.
@@ -85,6 +89,11 @@ LN10 = math.log(10)
 
 #: Bytes as the model reads them: lower-cased, and one kind of white space.
 _READ = LOWER[:0x09] + b" " * 5 + LOWER[0x0E:]
+#: Classes of the byte before the last: each letter, a space or the text's start, all others; times 256.
+_CLASS = np.zeros(256, np.uint16)
+_CLASS[ord("a") : ord("z") + 1] = np.arange(1, 27) << 8
+_CLASS[32] = 27 << 8
+WINDOWS = 28 << 8
 #: By length: a mask of so many bytes before a position, the nearest in the top byte.
 _LAST_BYTES = np.array([(1 << 64) - (1 << 64 - 8 * k) for k in range(9)], np.uint64)
 _NODE = np.uint32(0x9E3779B1)
@@ -115,18 +124,19 @@ def stream(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Tree:
-    """For each byte before, a Huffman tree over the next: ``code`` (first bit lowest) and ``length`` at before * 256 + next."""
+    """Huffman trees over the next byte, one for each byte before and for frequent windows: ``code`` (first bit lowest) and ``length`` at tree * 256 + next."""
 
-    def __init__(self, counts: np.ndarray):
-        """``counts``: (256, 256) of byte pairs."""
+    def __init__(self, counts: np.ndarray, which: np.ndarray | None = None):
+        """``counts``: by tree, of the next byte; the first 256 are those of the byte before. ``which``: the tree of each window (see ``windows``)."""
         from keystrata.llm.webp_lossless import code_lengths, codes
 
+        self.which = which
         counts = np.asarray(counts, float)
-        overall = counts.sum(axis=0) + 0.01
+        overall = counts[:256].sum(axis=0) + 0.01
         overall /= overall.sum()
-        self.length, self.code = np.zeros((256, 256), np.uint8), np.zeros((256, 256), np.uint32)
+        self.length, self.code = np.zeros(counts.shape, np.uint8), np.zeros(counts.shape, np.uint32)
         made: dict[bool, tuple] = {}
-        for before in range(256):
+        for before in range(len(counts)):
             seen = bool(counts[before].any())
             if seen or False not in made:
                 lengths = code_lengths((counts[before] + overall).tolist(), DEEPEST)
@@ -134,6 +144,30 @@ class Tree:
             self.length[before], self.code[before] = made[seen]
         self.length, self.code = self.length.ravel(), self.code.ravel()
 
+    @staticmethod
+    def of(follow: np.ndarray) -> Tree:
+        """From counts of byte pairs, or of windows and the next byte. After a space there is one tree: the word so far is empty there, whatever came before."""
+        follow = follow.reshape(-1, 256)
+        if len(follow) == 256:
+            return Tree(follow)
+        seen = follow.sum(axis=1)
+        seen.reshape(-1, 256)[:, 32] = 0
+        seen[:256] = 0  # bytes of no class
+        often = np.sort(np.argsort(-seen, kind="stable")[:MOST_TREES])
+        often = often[seen[often] >= LEAST_SEEN]
+        which = np.tile(np.arange(256, dtype=np.uint32), WINDOWS >> 8)
+        which[often] = 256 + np.arange(len(often), dtype=np.uint32)
+        return Tree(np.concatenate([follow.reshape(-1, 256, 256).sum(axis=0), follow[often]]), which)
+
+    def places(self, text: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """tree * 256 + next at every position."""
+        if self.which is None:
+            return pairs_of(text, ends)
+        out = np.take(self.which, windows(text, ends))
+        out <<= np.uint32(8)
+        out |= text
+        return out
+
     @functools.cached_property
     def paths(self) -> tuple[np.ndarray, np.ndarray]:
         """Where each pair's path begins; and of all paths, a step after another, the hash of the node, with the bit in the top bit, which no slot has."""
@@ -155,6 +189,18 @@ def pairs_of(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
+def windows(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The class of the byte before the last, times 256, and the last byte, at every position; as if a space came before a text, but 0 at its first byte."""
+    out = np.zeros(len(text), np.uint16)
+    out[1:] = text[:-1]
+    out[2:] |= np.take(_CLASS, text[:-2])
+    starts = ends[:-1][ends[:-1] < len(text)]
+    out[starts] = 0
+    second = starts[starts + 1 < ends[1:][: len(starts)]] + 1
+    out[second] = text[second - 1] | _CLASS[32]
+    return out
+
+
 def contexts(text: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
     """A hash of 32 bits of each predictor's context at every position."""
     n = len(text)
@@ -222,30 +268,30 @@ def _path(code: np.ndarray, depth: int) -> np.ndarray:
     return low
 
 
-def count_pairs(bits: list[int], text: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """What the text's bits follow from, each with how often it comes in the low ``TIMES_BITS`` bits: predictor, context, and the two bytes around, which mostly come again within a text."""
-    follow = pairs_of(text, ends)
+def count_pairs(bits: list[int], text: np.ndarray, ends: np.ndarray, tree: Tree | None = None) -> np.ndarray:
+    """What the text's bits follow from, each with how often it comes in the low ``TIMES_BITS`` bits: predictor, context, tree (else the byte before) and next byte, which mostly come again within a text."""
+    follow = pairs_of(text, ends) if tree is None else tree.places(text, ends)
     out = []
     for k, h in enumerate(contexts(text, ends)):
         h &= np.uint32((1 << bits[k]) - 1)
         pairs = h.astype(np.int64)
-        pairs <<= 16
+        pairs <<= OWN_BITS
         pairs |= follow
         pairs.sort()
         new = _first(pairs)
         pairs, times = pairs[new], np.diff(np.append(new, len(pairs)))
-        pairs |= k << MOST_SLOTS + 16
+        pairs |= k << MOST_SLOTS + OWN_BITS
         out.append(_entries(pairs, times, TIMES_BITS))
     return np.concatenate(out)
 
 
 def bits_of(tree: Tree, bits: list[int], found: np.ndarray) -> Iterator[np.ndarray]:
     """By predictor: the bits of counted pairs, in no order: places (predictor, slot, bit), each with a count in the low ``COUNT_BITS`` bits; a place may come again."""
-    cuts = np.searchsorted(found, np.arange(PREDICTORS + 1) << MOST_SLOTS + 16 + TIMES_BITS)
+    cuts = np.searchsorted(found, np.arange(PREDICTORS + 1) << MOST_SLOTS + OWN_BITS + TIMES_BITS)
     for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
         times = found[a:b] & (1 << TIMES_BITS) - 1
         pairs = found[a:b] >> TIMES_BITS
-        h, own = (pairs >> 16).astype(np.uint32), pairs & 0xFFFF
+        h, own = (pairs >> OWN_BITS).astype(np.uint32), pairs & (1 << OWN_BITS) - 1
         code, length = np.take(tree.code, own), np.take(tree.length, own)
         times += k << MOST_SLOTS + 1 + COUNT_BITS
         out = [np.zeros(0, np.int64)]
@@ -268,7 +314,7 @@ def bits_of(tree: Tree, bits: list[int], found: np.ndarray) -> Iterator[np.ndarr
 
 def count_bits(tree: Tree, bits: list[int], text: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The text's bits, as ``bits_of`` has them."""
-    return np.concatenate(list(bits_of(tree, bits, merged([count_pairs(bits, text, ends)], TIMES_BITS))))
+    return np.concatenate(list(bits_of(tree, bits, merged([count_pairs(bits, text, ends, tree)], TIMES_BITS))))
 
 
 def _first(x: np.ndarray) -> np.ndarray:
@@ -357,7 +403,7 @@ class Model:
             slot ^= node
             slot &= np.uint32(len(table) - 1)
             v.append(np.take(table, slot, mode="clip"))
-        gate = ((v[-1] & 15) * np.int16(CLASSES) + (v[-2] & 15)).astype(np.intp)
+        gate = ((v[-1] & 15) * np.int16(CLASSES) + (v[-2] & 15) + ((v[-3] & 15) >> 1) * np.int16(CLASSES * CLASSES)).astype(np.intp)
         node >>= np.uint32(31)
         return at, node.astype(kind), [x.astype(kind, copy=False) for x in v], gate
 
@@ -403,7 +449,7 @@ TOGETHER = 21
 
 def add_cells(model: Model, text: np.ndarray, ends: np.ndarray, cells: np.ndarray) -> None:
     """Adds all bits of the texts to the counts that the fit starts from; the model is ``levelled``."""
-    every, hashed = pairs_of(text, ends), contexts(text, ends)
+    every, hashed = model.tree.places(text, ends), contexts(text, ends)
     low = (1 << TOGETHER) - 1
     for a in range(0, len(text), 1 << TOGETHER):
         pairs, h = every[a : a + low + 1], [x[a : a + low + 1] for x in hashed]
@@ -472,7 +518,7 @@ def costs(model: Model, text: np.ndarray, ends: np.ndarray) -> np.ndarray:
     own = [np.zeros(docs, np.float32) for _ in range(PREDICTORS)]
     correction = np.tile(model.correction.astype(np.float32), (docs, 1))
     surety = np.full((docs, BUCKETS), MAP_PULL)
-    pairs, hashed = pairs_of(text, ends), contexts(text, ends)
+    pairs, hashed = model.tree.places(text, ends), contexts(text, ends)
     at, block = ends[:-1].copy(), FIRST_BLOCK
     left = np.flatnonzero(at < ends[1:])
     while len(left):
@@ -520,8 +566,8 @@ def costs(model: Model, text: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words (kind 0, by hash), of pairs of bytes as the model reads them (kind 1), of documents (kind 2)."""
-    follow, docs, held, waiting = np.zeros(1 << 16, np.int64), 0, [], 0
+    """Counts of words (kind 0, by hash), of windows and the next byte as the model reads them (kind 1), of documents (kind 2)."""
+    follow, docs, held, waiting = np.zeros(WINDOWS << 8, np.int64), 0, [], 0
 
     def rows(kind, key, n):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(n)], ["kind", "key", "n"])
@@ -532,7 +578,11 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in slices(batches):
         words = Words(batch.column("text"), lower=True)
-        follow += np.bincount(pairs_of(*stream(batch.column("text"))), minlength=1 << 16)
+        text, ends = stream(batch.column("text"))
+        window = windows(text, ends).astype(np.intp)
+        window <<= 8
+        window |= text
+        np.add.at(follow, window, 1)
         docs += batch.num_rows
         held.append(np.unique(words.hashes(), return_counts=True))
         waiting += len(held[-1][0])
@@ -642,7 +692,7 @@ def bit_parts(training: DataFrame, tree: Tree, bits: list[int]) -> DataFrame:
             for tuning in held:
                 own = batch.filter(pc.equal(batch.column("tuning"), tuning))
                 if own.num_rows:
-                    held[tuning].append(count_pairs(bits, *stream(own.column("text"))))
+                    held[tuning].append(count_pairs(bits, *stream(own.column("text")), tree))
                 if sum(map(len, held[tuning])) > HELD_PAIRS:
                     held[tuning] = [merged(held[tuning], TIMES_BITS)]
                     if len(held[tuning][0]) > HELD_PAIRS * 3 // 4:
@@ -692,8 +742,8 @@ def bit_cells(texts: DataFrame, model: Model) -> np.ndarray:
 
 
 def trained(training: DataFrame, follow: np.ndarray) -> Model:
-    """The model of texts (id, text), of which the byte pairs are counted already."""
-    tree, bits = Tree(follow.reshape(256, 256)), slot_bits(int(follow.sum()))
+    """The model of texts (id, text), of which the byte pairs (or windows and next bytes) are counted already."""
+    tree, bits = Tree.of(follow), slot_bits(int(follow.sum()))
     training = training.select("text", (F.pmod(F.xxhash64(F.lit(9), "id", "text"), F.lit(2)) == 1).alias("tuning"))
     parts = bit_parts(training, tree, bits)
     cells = sum(bit_cells(training.filter(half).select("text"), Model.start(tree, bit_tables(parts, bits, others))) for half, others in ((F.col("tuning"), "rest"), (~F.col("tuning"), "own")))
@@ -724,7 +774,10 @@ def score(docs: DataFrame, learn: Column, held: Column, id_column: str = "doc_id
     keys = np.asarray(frequent.column("key").combine_chunks()).view(np.uint64)
     order = np.argsort(keys)
     known = (keys[order], np.asarray(frequent.column("n").combine_chunks())[order])
-    follow = np.array([few.get((1, pair), 0) for pair in range(1 << 16)])
+    follow = np.zeros(WINDOWS << 8, np.int64)
+    for (kind, place), n in few.items():
+        if kind == 1:
+            follow[place] = n
     shared = spark.sparkContext.broadcast((trained(training, follow), known))
     scale = tokens + distinct + 1
 

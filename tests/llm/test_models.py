@@ -110,6 +110,28 @@ def test_nodes_of_a_position_are_neighbours():
                 assert seen.setdefault(x, (depth, int(tree.code[pair]) & (1 << depth) - 1)) == (depth, int(tree.code[pair]) & (1 << depth) - 1)
 
 
+def test_trees_of_windows():
+    """Windows against a plain reading; trees for frequent ones take fewer bits, and the chances of all next symbols add up to one."""
+    r = np.random.default_rng(12)
+    plain = bytes(r.choice(list(b"abcd "), 60000).astype(np.uint8)).replace(b"ab", b"abxyz") + b"\0"
+    texts = [b"\0", b"q\0", plain, b"ab\0"]
+    text, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
+    kind = lambda c: c - 96 if 97 <= c <= 122 else 27 if c == 32 else 0
+    expected = [0 if i == 0 else kind((b" " + t)[i - 1]) << 8 | t[i - 1] for t in texts for i in range(len(t))]
+    assert mixlm.windows(text, ends).tolist() == expected
+    counts = np.bincount(mixlm.windows(text, ends).astype(int) * 256 + text, minlength=mixlm.WINDOWS << 8)
+    tree, old = mixlm.Tree.of(counts), mixlm.Tree.of(np.bincount(mixlm.pairs_of(text, ends), minlength=1 << 16))
+    assert len(tree.length) > len(old.length) == 1 << 16
+    assert tree.length[tree.places(text, ends)].sum() < old.length[old.places(text, ends)].sum()
+    assert (tree.which.reshape(-1, 256)[:, 32] == 32).all()
+    model = mixlm.Model.start(tree, mixlm.tables_of([18] * mixlm.PREDICTORS, mixlm.count_bits(tree, [18] * mixlm.PREDICTORS, text, ends)))
+    head = b"dabxy"
+    tails = np.frombuffer(b"".join(head + bytes([s]) for s in range(256)), np.uint8)
+    whole = mixlm.costs(model, tails, np.arange(257) * 6)
+    first = mixlm.costs(model, np.frombuffer(head, np.uint8), np.array([0, 5]))
+    assert abs(np.exp(-(whole - first)).sum() - 1) < 1e-3
+
+
 def test_contexts_are_made_in_runs(monkeypatch):
     """Contexts take little memory beside their own, which is what their time went to; where runs begin doesn't matter."""
     import tracemalloc
