@@ -225,17 +225,20 @@ def _bytes(text: str) -> int:
     return value if value > 0 else 1 << 62
 
 
-def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+def cut(df: DataFrame, rows: int | None = None, by: str | None = None) -> DataFrame:
     """The rows, written once to the shared checkpoint folder; lineage ends there.
 
-    ``rows``: about how many small ones there are at most, which are dealt to few files then (a file costs processes of its own
-    on some file systems). Spark deletes shuffle files once the plans that made them are garbage on the driver, which may be long after; so the
+    ``rows``: about how many small ones there are at most, which are dealt to few files then. ``by``: a column by which small rows are
+    dealt to as few files as adaptive execution makes of their size. (Hadoop's local file system starts two programs for each file, and
+    for an instant, until the program has begun, the executor's JVM is there twice with all of its memory.) Spark deletes shuffle files once the plans that made them are garbage on the driver, which may be long after; so the
     driver's garbage is collected here.
     """
     spark = df.sparkSession
     shared_folder(spark)
     if rows is not None:
         df = df.repartition(rows // FILE_ROWS + 1)
+    if by is not None:
+        df = df.repartition(by)
     out = df.checkpoint(eager=True)
     del df
     gc.collect()

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import LARGE_SLICE, LOWER, SLICE_BYTES, Words, cut, estimated_parts, raw, slices, small_batches
+from keystrata.llm.common import LARGE_SLICE, LOWER, SLICE_BYTES, Words, cut, estimated_parts, raw, release, slices, small_batches
 from keystrata.llm.langid import held_out
 
 #: How many bytes before a position each predictor's context has; ``WORD``: the word so far (its last eight bytes and its length).
@@ -83,6 +83,8 @@ UNIT = 16 * SCALE
 FREQUENT = 1_000_000
 HELD_WORDS = 1_500_000
 HELD_PAIRS = 1 << 22
+#: Counted pairs or bits that are looked at together: what they take stays near the processor, and small.
+STEP = 1 << 17
 #: Portions of counts that one step adds up, about.
 ADDED = 64
 LN10 = math.log(10)
@@ -270,6 +272,10 @@ def _path(code: np.ndarray, depth: int) -> np.ndarray:
 
 def count_pairs(bits: list[int], text: np.ndarray, ends: np.ndarray, tree: Tree | None = None) -> np.ndarray:
     """What the text's bits follow from, each with how often it comes in the low ``TIMES_BITS`` bits: predictor, context, tree (else the byte before) and next byte, which mostly come again within a text."""
+    return np.concatenate(_pairs_by_predictor(bits, text, ends, tree))
+
+
+def _pairs_by_predictor(bits: list[int], text: np.ndarray, ends: np.ndarray, tree: Tree | None = None) -> list[np.ndarray]:
     follow = pairs_of(text, ends) if tree is None else tree.places(text, ends)
     out = []
     for k, h in enumerate(contexts(text, ends)):
@@ -282,19 +288,26 @@ def count_pairs(bits: list[int], text: np.ndarray, ends: np.ndarray, tree: Tree
         pairs, times = pairs[new], np.diff(np.append(new, len(pairs)))
         pairs |= k << MOST_SLOTS + OWN_BITS
         out.append(_entries(pairs, times, TIMES_BITS))
-    return np.concatenate(out)
+    return out
 
 
 def bits_of(tree: Tree, bits: list[int], found: np.ndarray) -> Iterator[np.ndarray]:
     """By predictor: the bits of counted pairs, in no order: places (predictor, slot, bit), each with a count in the low ``COUNT_BITS`` bits; a place may come again."""
     cuts = np.searchsorted(found, np.arange(PREDICTORS + 1) << MOST_SLOTS + OWN_BITS + TIMES_BITS)
     for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-        times = found[a:b] & (1 << TIMES_BITS) - 1
-        pairs = found[a:b] >> TIMES_BITS
+        yield _bits_of(tree, bits[k], k, found[a:b])
+
+
+def _bits_of(tree: Tree, bits: int, k: int, found: np.ndarray) -> np.ndarray:
+    """One predictor's."""
+    many = sum(int(np.take(tree.length, x >> TIMES_BITS & (1 << OWN_BITS) - 1).sum(dtype=np.int64)) for x in np.array_split(found, len(found) // STEP + 1))
+    out, at = np.empty(many, np.int64), 0
+    for a in range(0, len(found), STEP):
+        times = found[a : a + STEP] & (1 << TIMES_BITS) - 1
+        pairs = found[a : a + STEP] >> TIMES_BITS
         h, own = (pairs >> OWN_BITS).astype(np.uint32), pairs & (1 << OWN_BITS) - 1
         code, length = np.take(tree.code, own), np.take(tree.length, own)
         times += k << MOST_SLOTS + 1 + COUNT_BITS
-        out = [np.zeros(0, np.int64)]
         for depth in range(DEEPEST):
             if depth:
                 deep = np.flatnonzero(length > depth)
@@ -302,14 +315,15 @@ def bits_of(tree: Tree, bits: list[int], found: np.ndarray) -> Iterator[np.ndarr
                     break
                 h, code, length, times = (np.take(x, deep, mode="clip") for x in (h, code, length, times))
             slot = h ^ _path(code, depth)
-            slot &= np.uint32((1 << bits[k]) - 1)
+            slot &= np.uint32((1 << bits) - 1)
             slot <<= 1
             slot += code >> depth & 1
-            place = slot.astype(np.int64)
+            place = out[at : at + len(slot)]
+            place[:] = slot
             place <<= COUNT_BITS
             place += times
-            out.append(place)
-        yield np.concatenate(out)
+            at += len(slot)
+    return out
 
 
 def count_bits(tree: Tree, bits: list[int], text: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -325,16 +339,19 @@ def _first(x: np.ndarray) -> np.ndarray:
 
 
 def merged(found: list[np.ndarray], low: int = COUNT_BITS) -> np.ndarray:
-    """The distinct places, in order, each with its count in the ``low`` bits: a place's counts added up, in as many entries as that takes."""
-    x = np.concatenate(found) if found else np.zeros(0, np.int64)
-    if not len(x):
-        return x
+    """The distinct places, in order, each with its count in the ``low`` bits: a place's counts added up, in as many entries as that takes. A lone array is sorted where it is."""
+    x = found[0] if len(found) == 1 else np.concatenate(found) if found else np.zeros(0, np.int64)
     x.sort()
-    place = x >> low
-    new = _first(place)
-    place = place[new]
-    x &= (1 << low) - 1
-    return _entries(place, np.add.reduceat(x, new), low)
+    out, a = [np.zeros(0, np.int64)], 0
+    while a < len(x):
+        b = min(len(x), a + STEP)
+        if b < len(x):  # a place's counts stay together
+            b = int(np.searchsorted(x, (x[b - 1] >> low) + 1 << low))
+        place = x[a:b] >> low
+        new = _first(place)
+        out.append(_entries(place[new], np.add.reduceat(x[a:b] & (1 << low) - 1, new), low))
+        a = b
+    return np.concatenate(out)
 
 
 def _entries(place: np.ndarray, total: np.ndarray, low: int = COUNT_BITS) -> np.ndarray:
@@ -436,10 +453,14 @@ def _levels() -> np.ndarray:
 _LEVEL = _levels()
 
 
+def _by_level(values: np.ndarray) -> np.ndarray:
+    """16 * level + class of slot values: a byte a slot."""
+    return (np.take(_LEVEL, values.astype(np.intp) + (1 << 15)) * 16 + (values & 15)).astype(np.uint8)
+
+
 def levelled(model: Model) -> Model:
-    """The model with levels instead of log odds in its tables, 16 * level + class: a byte a slot."""
-    values = [(np.take(_LEVEL, v.astype(np.intp) + (1 << 15)) * 16 + (v & 15)).astype(np.uint8) for v in model.values]
-    return Model(model.tree, values, model.weights, model.correction)
+    """The model with levels instead of log odds in its tables, where they aren't in them yet."""
+    return Model(model.tree, [v if v.dtype == np.uint8 else _by_level(v) for v in model.values], model.weights, model.correction)
 
 
 _STANDS = np.array([-x for x in STANDS[:0:-1]] + list(STANDS))
@@ -687,38 +708,55 @@ def bit_parts(training: DataFrame, tree: Tree, bits: list[int]) -> DataFrame:
 
     def work(batches):
         salt = TaskContext.get().partitionId()
-        held: dict[bool, list[np.ndarray]] = {False: [], True: []}
+        held = {tuning: [[] for _ in ORDERS] for tuning in (False, True)}  # each predictor's pairs by themselves: what a step takes is a third
+
+        def portions(tuning):
+            for k, found in enumerate(held[tuning]):
+                pairs = merged(found, TIMES_BITS)
+                found.clear()
+                places = _bits_of(tree, bits[k], k, pairs)
+                del pairs
+                yield from _portions(merged([places]), tuning, salt)
+
+        def many(tuning):
+            return sum(len(x) for found in held[tuning] for x in found)
+
         for batch in slices(batches, limit=LARGE_SLICE):
             for tuning in held:
                 own = batch.filter(pc.equal(batch.column("tuning"), tuning))
                 if own.num_rows:
-                    held[tuning].append(count_pairs(bits, *stream(own.column("text")), tree))
-                if sum(map(len, held[tuning])) > HELD_PAIRS:
-                    held[tuning] = [merged(held[tuning], TIMES_BITS)]
-                    if len(held[tuning][0]) > HELD_PAIRS * 3 // 4:
-                        for found in bits_of(tree, bits, held[tuning].pop()):
-                            yield from _portions(merged([found]), tuning, salt)
+                    for found, pairs in zip(held[tuning], _pairs_by_predictor(bits, *stream(own.column("text")), tree)):
+                        found.append(pairs)
+                if many(tuning) > HELD_PAIRS:
+                    for found in held[tuning]:
+                        found[:] = [merged(found, TIMES_BITS)]
+                    if many(tuning) > HELD_PAIRS * 3 // 4:
+                        yield from portions(tuning)
+                        release()
         for tuning in held:
-            for found in bits_of(tree, bits, merged(held[tuning], TIMES_BITS)):
-                yield from _portions(merged([found]), tuning, salt)
+            yield from portions(tuning)
+        release()
 
     rows = _summed(training.mapInArrow(work, _PORTION), training)
-    return cut(rows.groupBy("predictor", "part").applyInArrow(_values, "predictor int, part int, " + ", ".join(f"{x} binary" for x in _HALVES)))
+    rows = rows.groupBy("predictor", "part").applyInArrow(_values, "predictor int, part int, " + ", ".join(f"{x} binary" for x in _HALVES))
+    return rows.repartition("predictor", "part")  # so all are made at once, and then read a few after another
 
 
-def bit_tables(parts: DataFrame, bits: list[int], column: str) -> list[np.ndarray]:
-    """Each predictor's slot values, of all texts or of a half."""
-    out = [np.zeros(1 << b, np.int16) for b in bits]
-    for row in parts.select("predictor", "part", column).toLocalIterator():  # a part after another comes to the driver
+def bit_tables(parts: DataFrame, bits: list[int], *columns: str, levels: tuple[str, ...] = ()) -> list[list[np.ndarray]]:
+    """For each of the columns, each predictor's slot values, of all texts or of a half; ``levels``: those to be as ``levelled``. Read once, as it is made anew each time."""
+    out = {c: [np.zeros(1 << b, np.uint8 if c in levels else np.int16) for b in bits] for c in columns}
+    for row in parts.select("predictor", "part", *columns).toLocalIterator():  # a part after another comes to the driver
         at = row["part"] << PART
-        out[row["predictor"]][at : at + (1 << PART)] = np.frombuffer(row[column], np.int16)
-    return out
+        for c in columns:
+            x = np.frombuffer(row[c], np.int16)
+            out[c][row["predictor"]][at : at + (1 << PART)] = _by_level(x) if c in levels else x
+    return list(out.values())
 
 
 def bit_values(training: DataFrame, tree: Tree, bits: list[int]) -> tuple[list[np.ndarray], list[tuple[slice, np.ndarray]]]:
     """Each predictor's slot values from all texts; and by predictor where to put which values for those without the texts marked ``tuning``."""
-    parts = bit_parts(training, tree, bits)
-    return bit_tables(parts, bits, "values"), [(slice(None), x) for x in bit_tables(parts, bits, "rest")]
+    values, rest = bit_tables(bit_parts(training, tree, bits), bits, "values", "rest")
+    return values, [(slice(None), x) for x in rest]
 
 
 def bit_cells(texts: DataFrame, model: Model) -> np.ndarray:
@@ -745,9 +783,10 @@ def trained(training: DataFrame, follow: np.ndarray) -> Model:
     """The model of texts (id, text), of which the byte pairs (or windows and next bytes) are counted already."""
     tree, bits = Tree.of(follow), slot_bits(int(follow.sum()))
     training = training.select("text", (F.pmod(F.xxhash64(F.lit(9), "id", "text"), F.lit(2)) == 1).alias("tuning"))
-    parts = bit_parts(training, tree, bits)
-    cells = sum(bit_cells(training.filter(half).select("text"), Model.start(tree, bit_tables(parts, bits, others))) for half, others in ((F.col("tuning"), "rest"), (~F.col("tuning"), "own")))
-    model = Model.start(tree, bit_tables(parts, bits, "values"))
+    values, rest, own = bit_tables(bit_parts(training, tree, bits), bits, *_HALVES, levels=_HALVES[1:])
+    cells = sum(bit_cells(training.filter(half).select("text"), Model.start(tree, others)) for half, others in ((F.col("tuning"), rest), (~F.col("tuning"), own)))
+    del rest, own
+    model = Model.start(tree, values)
     fit(model, cells)
     return model
 
@@ -757,7 +796,7 @@ def score(docs: DataFrame, learn: Column, held: Column, id_column: str = "doc_id
     spark = docs.sparkSession
     training = docs.filter(learn).select(docs[id_column].alias("id"), docs[text_column].alias("text"))
     small_batches(spark)
-    counted = cut(training.select("text").mapInArrow(_word_rows, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    counted = cut(training.select("text").mapInArrow(_word_rows, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), by="key")
     words = counted.filter("kind = 0").select("key", "n")
     few = {(r["kind"], r["key"]): r["n"] for r in counted.filter("kind > 0").toLocalIterator()}
     train_docs = few.get((2, 0), 0)
@@ -814,7 +853,7 @@ def score(docs: DataFrame, learn: Column, held: Column, id_column: str = "doc_id
 
     kind = docs.schema[id_column].dataType.simpleString()
     picked = docs.select(docs[id_column].alias("id"), held.alias("held_out"), docs[text_column].alias("text"))
-    rows = cut(picked.mapInArrow(work, f"row long, id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, key long, times long"))
+    rows = cut(picked.mapInArrow(work, f"row long, id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, key long, times long"), by="row")
     rest = rows.filter("key is not null").select("row", "key", "times").join(words, "key")
     rest = rest.groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("gain"))
     out = rows.filter("key is null").join(rest, "row", "left")

@@ -229,6 +229,40 @@ def test_pairs_come_once(monkeypatch):
     assert mixlm.merged([mixlm.count_bits(tree, bits, text, ends)]).tolist() == whole.tolist()
 
 
+def test_bits_of_pairs_take_little_memory():
+    """Bits of counted pairs are made and added up in steps: about what they and the result take, and no copies of all."""
+    import tracemalloc
+
+    text = np.random.default_rng(13).integers(97, 123, 300_000).astype(np.uint8)
+    tree, bits, ends = mixlm.Tree(follow(text)), [22] * mixlm.PREDICTORS, np.array([0, len(text)])
+    pairs = mixlm.merged([mixlm.count_pairs(bits, text, ends, tree)], mixlm.TIMES_BITS)
+    tracemalloc.start()
+    try:
+        many = 0
+        for found in mixlm.bits_of(tree, bits, pairs):
+            many = max(many, len(found))
+            mixlm.merged([found])
+            del found
+        assert tracemalloc.get_traced_memory()[1] < 8 * many * 3 + (8 << 20)
+    finally:
+        tracemalloc.stop()
+
+
+def test_scores_write_few_files(spark):
+    """Hadoop's local file system starts programs for each file, and an executor's JVM is there twice while one begins: files follow the size of rows, not the tasks."""
+    import os
+
+    from keystrata.llm.common import cut
+
+    assert cut(spark.range(0, 500, 1, 40), by="id").count() == 500
+    where = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    files = lambda: sum(f.startswith("part-") for _, _, names in os.walk(where) for f in names)
+    before = files()
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").filter("doc_id < 120").repartition(40)
+    assert mixlm.score_documents(docs).count() == docs.count()
+    assert 0 < files() - before <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_near_duplicate_recall(spark):
     """All links of the given documents, by an inverted index of shingles."""
     from collections import Counter, defaultdict
